@@ -1 +1 @@
-
+"""Tidewater's functions."""

@@ -1 +1 @@
-
+"""Tidewater's operators."""

@@ -1 +1 @@
-
+"""Tidewater's plans."""

@@ -1 +1 @@
-
+"""Tidewater's sources."""

@@ -1 +1 @@
-
+"""Tidewater's streaming."""
