@@ -82,5 +82,6 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
     copies = F.when(whole > 0, F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))).otherwise(F.array().cast("array<long>"))
     part = F.when((F.col("__part") > 0) & (F.col("__part") < F.col("__size")), F.array(F.col("__part"))).otherwise(F.array().cast("array<long>"))
     rows = rows.withColumn("__cut", F.explode(F.concat(copies, part)))
-    head = F.regexp_extract("text", F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*+){"), F.col("__cut").cast("string"), F.lit("})")), 1)
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__cut"), F.lit(0)).cast("int")), "")
     return rows.select(*[F.when(F.col("__cut") < 0, F.col("text")).otherwise(head).alias("text") if c == "text" else docs[c] for c in docs.columns])
