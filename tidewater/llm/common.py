@@ -4,11 +4,9 @@ positions, hot-key joins, word hashing and connected components."""
 from __future__ import annotations
 
 import re
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +14,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.cluster import ship
+
 #: Words are runs of anything but ASCII white space; bytes.split() splits at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
-_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,16 +63,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        d = tempfile.mkdtemp()  # it stays: Spark serves it to executors that start later, too
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/{root.name}-{app}", "zip", root.parent, root.name))
-        _shipped.add(app)
-
-
 def map_arrow(df: DataFrame, f: Callable[..., Iterable[pa.RecordBatch]], schema: str, **kw) -> DataFrame:
     """mapInArrow with a function of (batches, **kw)."""
     ship(df.sparkSession)

@@ -30,10 +30,11 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHashes, components, join_on_hot, map_arrow, ngrams, parallelism, ship, slices, stage
+from tidewater.cluster import ship
+from tidewater.llm.common import WordHashes, components, join_on_hot, map_arrow, ngrams, parallelism, slices, stage
 
 K = 5
 #: Most frequent shingles that stand last in the order, and members of a group.

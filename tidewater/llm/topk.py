@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ship, stage
+from tidewater.cluster import ship
+from tidewater.llm.common import stage
 
 #: Rows in a block of candidates and of queries; read at once per matrix product.
 BLOCK, QUERY_BLOCK, CHUNK = 8192, 1024, 256
