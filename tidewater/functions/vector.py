@@ -20,8 +20,29 @@ SQL_FUNCTIONS = {
     "vec_multiply": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "zip_with(a, b, (x, y) -> x * y)"),
     "vec_normalize": ("a ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "transform(a, x -> coalesce(try_divide(x, vec_norm(a)), 0D))"),
 }
-#: The distance operators of the dialect.
-OPERATORS = {"<=>": "vec_cosine_distance", "<->": "vec_l2_distance", "<#>": "vec_negative_inner_product"}
+
+
+def _dot_sql(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+
+
+def _norm_sql(a: str) -> str:
+    return f"sqrt(aggregate({a}, 0D, (s, x) -> s + x * x))"
+
+
+#: The distance operators of the dialect, written out: Spark takes no SQL function in ORDER BY.
+OPERATORS = {
+    "<=>": lambda a, b: f"greatest(0D, 1D - IF({_norm_sql(a)} * {_norm_sql(b)} = 0D, 0D, try_divide({_dot_sql(a, b)}, {_norm_sql(a)} * {_norm_sql(b)})))",
+    "<->": lambda a, b: f"sqrt(aggregate(zip_with({a}, {b}, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))",
+    "<#>": lambda a, b: f"-{_dot_sql(a, b)}",
+}
+
+
+def distance_sql(op: str, a: str, b: str) -> str:
+    """`a op b`; infinite where a vector is missing or of another dimension."""
+    a, b = (f"CAST({x} AS ARRAY<DOUBLE>)" for x in (a, b))
+    # greatest() skips nulls, so sizes are compared first
+    return f"IF(size({a}) = size({b}), coalesce({OPERATORS[op](a, b)}, double('Infinity')), double('Infinity'))"
 
 
 def register(spark: SparkSession) -> None:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.cluster import ship
 from tidewater.functions.statistics import fit_line
 
 #: The error that positions may have, and the least size and the share of the main
@@ -63,6 +64,7 @@ class PGMIndex:
 
     @classmethod
     def build(cls, df: DataFrame, key: str, epsilon: int = EPSILON) -> PGMIndex:
+        ship(df.sparkSession)
         placed = positions(df, key)
 
         def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,8 +76,9 @@ class PGMIndex:
 
     def predict(self, keys: DataFrame, key: str = "key") -> DataFrame:
         """keys with the position that their segment predicts, within epsilon of the true one."""
-        found = keys.join(self.segments, (F.col(key) >= F.col("first")) & (F.col(key) <= F.col("last")))
-        return found.select(*[F.col(c) for c in keys.columns], (F.col("position") + F.col("slope") * (F.col(key) - F.col("first"))).alias("predicted"))
+        s = self.segments.select(F.col("first").alias("__first"), F.col("last").alias("__last"), F.col("slope").alias("__slope"), F.col("position").alias("__start"))
+        found = keys.join(s, (F.col(key) >= F.col("__first")) & (F.col(key) <= F.col("__last")))
+        return found.select(*[F.col(c) for c in keys.columns], (F.col("__start") + F.col("__slope") * (F.col(key) - F.col("__first"))).alias("predicted"))
 
     def search(self, key: float) -> list[int]:
         """All positions of a key, looked for only where its segment says."""

@@ -118,7 +118,7 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 5",
     # beyond the reference
-    "window_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders",
+    "window_rank": "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r FROM orders",
     "window_running_sum": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders",
     "window_lag": "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events",
     "cte": "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 200000) SELECT o_orderstatus, count(*) AS n FROM big GROUP BY o_orderstatus",
@@ -293,7 +293,7 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings")
     q = e.where("vec_id < 50")
     exact = vector.knn_batch(q, e, 10, "l2").select("query_id", "vec_id")
-    near = IVFIndex(e).batch(q, 10, "l2", probes=8).select("query_id", "vec_id")
+    near = IVFIndex(e).batch(q, 10, "l2", probes=12).select("query_id", "vec_id")
     hit = exact.join(near, ["query_id", "vec_id"]).count()
     return spark.createDataFrame([(hit / max(exact.count(), 1),)], "recall double")
 
