@@ -3,8 +3,9 @@
 Documents with equal texts are linked. They start in shards given by a hash; in each round the links
 of a text are counted by shard, and its documents move towards the shard that holds most of them. A
 shard admits no more documents than it has room for: where more want to move in, whole texts are
-admitted by a seeded draw. A text with more copies than a shard may hold spreads over the fewest
-shards that hold it. Links are never listed pair by pair: a text is the hub of its copies.
+admitted by a seeded draw. Texts with more copies than a tenth of a shard, of which there are at most ten
+for each shard, get the fewest shards that hold them first, and take that room from the others. Links are never
+listed pair by pair: a text is the hub of its copies.
 
 Then the `rows` law is made exact: documents are numbered within their shard, linked ones first, and
 those beyond the shard's quota, which are unlinked wherever possible, fill up the other shards. Counts
@@ -27,32 +28,50 @@ SEED = 37
 PARTS = 64
 
 
+def reserve(large: list[tuple[int, int]], n_shards: int, room: int) -> tuple[list[int], list[tuple[int, int, float, float]]]:
+    """Shards for texts with many copies, the largest first, each in as few shards as hold it: the room left
+    in every shard, and (key, shard, from, to) of the seeded draw of a row."""
+    free, ranges = [room] * n_shards, []
+    for key, copies in sorted(large, key=lambda x: (-x[1], x[0])):
+        left = copies
+        while left > 0:
+            s = max(range(n_shards), key=lambda i: (free[i], -i))
+            part = min(left, free[s]) if free[s] > 0 else left
+            ranges.append((key, s, (copies - left) / copies, (copies - left + part) / copies))
+            free[s], left = free[s] - part, left - part
+    return [max(f, 0) for f in free], ranges
+
+
 def propagate(linked: DataFrame, n_shards: int, room: int, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """linked (rid, key, copies, ...) with shard: at most about `room` rows in each."""
+    spark, start = linked.sparkSession, F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(n_shards)).cast("int")
     copies = linked.groupBy("key").agg(F.first("copies").alias("copies"))
-    state = stage(linked.withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(n_shards)).cast("int")), "shard")
+    # texts with over a tenth of a shard: at most ten times as many as there are shards
+    large = [tuple(r) for r in copies.where(F.col("copies") * 10 > max(room, 1)).select("key", "copies").collect()]
+    free, ranges = reserve(large, n_shards, max(room, 1))
+    draw = F.shiftrightunsigned(F.xxhash64("rid", F.lit(seed + 7)), 11).cast("double") / float(1 << 53)
+    fixed = spark.createDataFrame(ranges, "key long, shard int, first double, end double")
+    hot = linked.where(F.col("copies") * 10 > max(room, 1)).withColumn("draw", draw).join(F.broadcast(fixed), "key").where("draw >= first and draw < end").drop("draw", "first", "end")
+    state = stage(linked.where(F.col("copies") * 10 <= max(room, 1)).withColumn("shard", start), "shard")
     for turn in range(rounds):
+        # the shard that holds most copies of a text, among those with room
+        open_to = F.element_at(F.array(*[F.lit(f > 0) for f in free]), F.col("shard") + 1)
         held = state.groupBy("key", "shard").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("key").orderBy(F.desc("n"), F.xxhash64("key", "shard"))
-        spread = F.ceil(F.col("copies") / F.lit(max(room, 1))).cast("int")  # shards that a text needs
-        best = held.join(copies, "key").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= spread)
-        goals = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("nth", "shard"))).alias("goals"), F.first("copies").alias("__copies"))
-        goals = goals.select("key", F.col("goals")["shard"].alias("goals"), "__copies")
-        asked = join_on_hot(state, goals, ["key"], "__copies", "inner").drop("__copies")
-        pick = F.get("goals", F.pmod(F.xxhash64("rid", F.lit(seed)), F.size("goals")).cast("int"))
-        asked = asked.withColumn("to", F.when(F.array_contains("goals", F.col("shard")), F.col("shard")).otherwise(pick))
+        best = held.groupBy("key").agg(F.max(F.struct(open_to.alias("o"), "n", F.xxhash64("key", "shard").alias("h"), "shard")).alias("best"))
+        asked = state.join(best.select("key", F.col("best.shard").alias("to")), "key")
         # n_shards rows: what a shard holds, and what wants in
-        load = asked.select(F.explode(F.array(F.struct(F.col("shard").alias("s"), F.lit(1).alias("own"), F.lit(0).alias("new")), F.struct(F.col("to").alias("s"), F.lit(0).alias("own"), (F.col("to") != F.col("shard")).cast("int").alias("new")))).alias("x"))
-        load = {r["s"]: (r["own"], r["new"]) for r in load.groupBy("x.s").agg(F.sum("x.own").alias("own"), F.sum("x.new").alias("new")).collect()}
-        if not any(new for _, new in load.values()):
+        load = asked.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()
+        own, new = [0] * n_shards, [0] * n_shards
+        for r in load:
+            own[r["shard"]] += r["n"]
+            new[r["to"]] += r["n"] * (r["to"] != r["shard"])
+        if not any(new):
             break
-        admit = [min(1.0, max(0, room - load.get(s, (0, 0))[0]) / max(load.get(s, (0, 0))[1], 1)) for s in range(n_shards)]
-        # rows of a text are drawn together; those of a text that fills much of a shard one by one
-        unit = F.when(F.col("copies") * 10 > room, F.xxhash64("rid", F.lit(seed + turn))).otherwise(F.xxhash64("key", F.lit(seed + turn)))
-        draw = F.shiftrightunsigned(unit, 11).cast("double") / float(1 << 53)
-        moves = draw < F.element_at(F.array(*[F.lit(p) for p in admit]), F.col("to") + 1)
-        state = stage(asked.withColumn("shard", F.when(moves, F.col("to")).otherwise(F.col("shard"))).drop("goals", "to"), "shard")
-    return state
+        admit = [min(1.0, max(0, free[s] - own[s]) / max(new[s], 1)) for s in range(n_shards)]
+        luck = F.shiftrightunsigned(F.xxhash64("key", F.lit(seed + turn)), 11).cast("double") / float(1 << 53)  # rows of a text move together
+        moves = luck < F.element_at(F.array(*[F.lit(p) for p in admit]), F.col("to") + 1)
+        state = stage(asked.withColumn("shard", F.when(moves, F.col("to")).otherwise(F.col("shard"))).drop("to"), "shard")
+    return state.unionByName(hot)
 
 
 def shards(docs: DataFrame, n_shards: int = 40, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
