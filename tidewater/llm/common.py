@@ -119,7 +119,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while there are not too many of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

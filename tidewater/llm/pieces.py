@@ -30,7 +30,7 @@ from tidewater.llm.common import id_and_text, map_arrow, slices
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Pre-tokens that a Python worker remembers.
-CACHE = 600_000
+CACHE = 300_000
 
 
 class Pieces:

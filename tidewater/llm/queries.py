@@ -63,7 +63,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op5_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(NORM)} AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 3), lambda p: array_to_string(ws[p:p + 4], ' ')) END) AS xs FROM w),
+        n AS (SELECT doc_id, len(xs) AS n FROM s), u AS (SELECT doc_id, unnest(xs) AS x FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS t FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.t)
+        SELECT doc_id, n AS n_shingles, min(t) AS component_id FROM n JOIN r USING (doc_id) GROUP BY doc_id, n""",
+    "op6_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        h AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS p, unnest(list_transform(range(1, len(ws) - 48), lambda p: md5(array_to_string(ws[p:p + 49], ' ')))) AS k FROM w),
+        m AS (SELECT k, min(doc_id) AS f FROM h GROUP BY k),
+        g AS (SELECT DISTINCT h.doc_id, unnest(range(p, p + 50)) AS at FROM h JOIN m USING (k) WHERE f < h.doc_id),
+        x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS at, unnest(ws) AS word FROM w),
+        t AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.at) AS kept, count(*) AS n FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.at = g.at GROUP BY x.doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t ON w.doc_id = t.doc_id""",
     "op9_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

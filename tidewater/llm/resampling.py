@@ -37,7 +37,7 @@ _tokens = re.compile(r"\w+|[^\w\s]+").findall
 
 class TokenHashes(dict):
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[token] = xxhash.xxh64_intdigest(token)
         return h

@@ -34,7 +34,7 @@ _words = re.compile(r"\w+").findall
 
 class Slots(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word) & ((1 << BITS) - 1)
         return h
