@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain: categories are predicted one after another, each by a linear model
 that also sees the earlier categories' probabilities.
 
-A document's features are which words it holds (lower case), hashed into 2 ** BITS slots. For each
-category the slots most associated with it among the training rows are kept, and a logistic
+A document's features are which words it holds (lower case), and which beginnings of words, so that
+inflected forms count together; they are hashed into 2 ** BITS slots. For each category the slots most associated with it among the training rows are kept, and a logistic
 regression is fitted on them and on the log odds of the categories before. While training, those
 log odds are out of fold: each row's come from models that have not seen it. Models are fitted on at
 most `sample` labelled rows (those with the smallest hashes); every whole text is scored.
@@ -27,26 +27,30 @@ from tidewater.llm.common import id_and_text, map_arrow, slices, stage
 
 BITS = 20
 #: Labelled rows to train on, folds, words a model looks at, and the least z-score of such a word.
-SAMPLE, FOLDS, WORDS, LEAST_Z = 20_000, 5, 256, 4.0
+SAMPLE, FOLDS, WORDS, LEAST_Z = 8_000, 5, 256, 4.0
+#: Lengths of the beginnings.
+STEMS = range(3, 9)
 SEED = 31
 _words = re.compile(r"\w+").findall
 
 
 class Slots(dict):
-    def __missing__(self, word: str) -> int:
+    """A word's slots: its own and those of its beginnings, as bytes."""
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) > 150_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word) & ((1 << BITS) - 1)
+        parts = [word, *[f"{word[:k]}*" for k in STEMS if k < len(word)]]
+        h = self[word] = np.array([xxhash.xxh64_intdigest(p) & ((1 << BITS) - 1) for p in parts], np.int32).tobytes()
         return h
 
 
-_slot = Slots()
+_slots = Slots()
 
 
 def words_of(text: str) -> np.ndarray:
-    """The slots of the distinct words."""
-    found = set(map(_slot.__getitem__, set(_words(text.lower()))))
-    return np.fromiter(found, np.int32, len(found))
+    """The slots of a text's words and their beginnings, once each."""
+    return np.unique(np.frombuffer(b"".join(map(_slots.__getitem__, set(_words(text.lower())))), np.int32))
 
 
 @dataclass
