@@ -7,17 +7,20 @@ same set are one vertex, so copies cost nothing.
 
 1. All shingles get one order: by hash, but the most frequent ones (at most HOT of them, found by
    counting every document's shingles) last. Sets with similarity t share one of the first
-   n - ceil(t n) + 1 in that order: their prefix. The matrix holds the prefixes' tokens against the vertices.
-2. Every vertex meets one other, that with which it shares most tokens as the smallest vertex of a
-   token. Pairs that pass are linked; linked vertices form groups of similar documents, split into
-   blocks of about GROUP members.
-3. A group has the union of its members' prefixes. A vertex is held against the groups of other
-   components that stand at one of its tokens: its overlap with the union bounds that with each member,
-   and only groups that qualify are opened, that is, their members compared one by one.
+   n - ceil(t n) + 1 in that order: their prefix. The matrix holds the prefixes' tokens against the
+   vertices, with their places in the prefix.
+2. Every vertex meets one other, that with which it shares most tokens among those that stand out at a
+   token by how much of their prefix is shared. Pairs that pass are linked.
+3. Similar vertices form groups: linked ones, or single ones that met the same vertex, of about one size
+   and GROUP members. The matrix then holds, for each token, the groups whose union has it, with their
+   least and greatest size and place. A vertex is held against the groups of larger components at its
+   tokens: what comes before the first common token can't be common, so places and sizes bound the
+   overlap with every member. Only groups that qualify at a token are opened, and their members there
+   are bounded in the same way, each by itself.
 
 Every similar pair shares a prefix token, so it is in one component after step 2, or is compared in
-step 3 unless a bound rules it out: no link between different components is lost. Bounds use only what
-both prefixes show of the order; pairs that pass them are decided on the whole sets.
+step 3 unless a bound rules it out: no link between different components is lost. Pairs that pass the
+bounds are decided on the whole sets.
 
 Repeated rows, and rows with a null doc_id, are documents of their own; a component of nulls only has a
 null id. An empty table gives no rows.
@@ -30,10 +33,9 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.cluster import ship
 from tidewater.llm.common import WordHashes, components, join_on_hot, map_arrow, ngrams, parallelism, slices, stage
 
 K = 5
@@ -43,7 +45,7 @@ HOT, GROUP = 1 << 16, 256
 COUNTED, LEAST = 1 << 21, 4
 #: So many ids are broadcast at most to pick out texts; more are joined by a shuffle.
 BROADCAST = 500_000
-TOP = np.uint64(1 << 63)
+TOP = np.uint64(1 << 62)
 
 _hash = WordHashes()
 
@@ -59,12 +61,12 @@ def vertex(s: np.ndarray) -> int:
 
 
 def ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A set's tokens in the order of all: 63 bits of the hash, or above them a frequent one's rank."""
+    """A set's tokens in the order of all: 62 bits of the hash, or above them a frequent one's rank."""
     if not len(hot):
-        return s >> np.uint64(1)
+        return s >> np.uint64(2)
     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
     is_hot = hot[at] == s
-    return np.concatenate([s[~is_hot] >> np.uint64(1), np.sort(TOP + rank[at[is_hot]])])
+    return np.concatenate([s[~is_hot] >> np.uint64(2), np.sort(TOP + rank[at[is_hot]])])
 
 
 def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -111,62 +113,50 @@ def _prefixes(batches: Iterable[pa.RecordBatch], hot: np.ndarray, rank: np.ndarr
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Of rows sorted by (token, v) those whose token has several vertices, once each."""
+    """token, v, n, pos: of rows sorted by (token, v) those whose token has several vertices, once each."""
+    names = ["token", "v", "n", "pos"]
     last = None  # the row before, which is decided when its successor is known
     joined = False
     for b in batches:
-        t, v, n = (b.column(i).to_numpy() for i in range(3))
+        c = [x.to_numpy() for x in b.columns]
         if last is not None:
-            t, v, n = np.append(last[0], t), np.append(last[1], v), np.append(last[2], n)
-        new = np.append(True, (t[1:] != t[:-1]) | (v[1:] != v[:-1]))
-        t, v, n = t[new], v[new], n[new]
-        if not len(t):
+            c = [np.append(x, y) for x, y in zip(last, c, strict=True)]
+        new = np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))
+        c = [x[new] for x in c]
+        if not len(c[0]):
             continue
-        same = t[1:] == t[:-1]
+        same = c[0][1:] == c[0][:-1]
         before = np.append(joined, same)
         out = before[:-1] | same
-        yield pa.RecordBatch.from_arrays([pa.array(t[:-1][out]), pa.array(v[:-1][out]), pa.array(n[:-1][out])], ["token", "v", "n"])
-        last, joined = (t[-1:], v[-1:], n[-1:]), bool(before[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in c], names)
+        last, joined = [x[-1:] for x in c], bool(before[-1])
     if last is not None and joined:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["token", "v", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names)
 
 
 def _views(column: pa.Array) -> list[np.ndarray]:
     flat, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
-    base = at[0]
-    return [flat[i - base : j - base] for i, j in zip(at[:-1], at[1:], strict=True)]
+    return [flat[i - at[0] : j - at[0]] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def overlap_bound(x: np.ndarray, n: int, y: np.ndarray, rest: int, last: int) -> int:
-    """At most so many tokens are common to a set of n with the prefix x, and to what shows y up to
-    `last` and has `rest` tokens besides (those of y beyond the common range are counted in here)."""
-    w = min(int(x[-1]), last) if len(x) < n else last
-    i, j = np.searchsorted(x, np.uint64(w), "right"), np.searchsorted(y, np.uint64(w), "right")
-    return len(np.intersect1d(x[:i], y[:j], assume_unique=True)) + min(n - int(i), rest + len(y) - int(j))
+def may(n: str, pos: str, m: str, at: str) -> str:
+    """Whether sets of n and m whose first common tokens stand at these places can be similar enough."""
+    return f"7 * least({n} - {pos}, {m} - {at}) >= 3 * ({n} + {m})"
 
 
-def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """a, b, na, nb, pa, pb: pairs that their prefixes don't rule out."""
-    for b in slices(batches, 2048):
-        na, nb = b.column(2).to_pylist(), b.column(3).to_pylist()
-        keep = [7 * overlap_bound(x, n, y, m - len(y), int(y[-1])) >= 3 * (n + m) for n, m, x, y in zip(na, nb, _views(b.column(4)), _views(b.column(5)), strict=True)]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+def missing(n: str, own: str, last: str, m: str, other: str, end: str) -> str:
+    """Whether such sets can be similar, by the tokens of their prefixes that no other prefix holds (own, other):
+    those of the prefix that ends first in the order are all missing from the other set."""
+    return f"IF({last} <= {end}, 7 * ({n} - {own}), 7 * ({m} - {other})) >= 3 * ({n} + {m})"
 
 
-def _qualified(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """v, g, n, p, low, last, union: groups that may hold a set similar to v's."""
-    for b in slices(batches, 2048):
-        keep = []
-        for n, low, last, x, u in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_numpy().view(np.uint64).tolist(), _views(b.column(3)), _views(b.column(6)), strict=True):
-            keep.append(7 * overlap_bound(x, n, u, 1 << 40, last) >= 3 * (n + max(low, (3 * n + 3) // 4)))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["v", "g"])
+def seen() -> list[Column]:
+    """Of all common tokens of two sets up to some place: how many, and where the last of them stands. What
+    stands before it without being common is missing from the other set."""
+    return [F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.first("n").alias("n"), F.first("m").alias("m")]
 
 
-def _unions(key: tuple, group: pa.Table) -> pa.Table:
-    prefixes = [x for c in group["prefix"].chunks for x in _views(c)]
-    sizes = group["n"].to_pylist()
-    last = min([int(p[-1]) if len(p) < n else (1 << 64) - 1 for p, n in zip(prefixes, sizes, strict=True)])
-    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "low": pa.array([min(sizes)], pa.int32()), "high": pa.array([max(sizes)], pa.int32()), "last": pa.array(np.array([last], np.uint64).view(np.int64)), "union": pa.array([np.unique(np.concatenate(prefixes)).view(np.int64)], pa.list_(pa.int64()))})
+MAY = "7 * least(n - (pos + 1 - c), m - (at + 1 - c)) >= 3 * (n + m)"
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -194,65 +184,66 @@ class Matrix:
         rank = np.arange(len(hot), 0, -1).astype(np.uint64)  # the most frequent last
         by = np.argsort(hot)
         self.rows = stage(map_arrow(self.docs, _prefixes, "doc_id long, text_hash long, n int, v long, prefix array<long>", hot=hot[by], rank=rank[by]), "jaccard")
-        tokens = self.rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "v", "n")
+        tokens = self.rows.where("prefix is not null").select("v", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "v", "n", "pos")
         tokens = tokens.repartition(n, "token").sortWithinPartitions("token", "v")
-        self.shared = stage(map_arrow(tokens, _shared, "token long, v long, n int"), "jaccard")
-        wanted = self.shared.select("v").distinct()
-        self.prefixes = stage(self.rows.where("prefix is not null").join(wanted, "v", "left_semi").groupBy("v").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard")
+        self.shared = stage(map_arrow(tokens, _shared, "token long, v long, n int, pos int"), "jaccard")
+        # of a vertex: the last token of its prefix, how many no other prefix has, and the share that others have
+        held = self.shared.groupBy("v").agg(F.count("*").alias("held"))
+        ends = self.rows.where("prefix is not null").select("v", "n", F.element_at("prefix", -1).alias("last"), F.size("prefix").alias("size")).dropDuplicates(["v"])
+        self.vertices = stage(ends.join(held, "v").select("v", "last", (F.col("size") - F.col("held")).alias("own"), (F.col("held") / F.col("size")).alias("share")), "jaccard")
+        self.nearest = stage(self._nearest(), "jaccard")
+
+    def _nearest(self) -> DataFrame:
+        """(a, b): each vertex b with one that may be similar."""
+        # most of a prefix is shared near the middle of a group of similar sets
+        rows = self.shared.join(self.vertices, "v")
+        first = rows.groupBy("token").agg(F.max(F.struct("share", "v", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("last").alias("end"), F.col("own").alias("other"))).alias("x"))
+        met = rows.join(first, "token").select("v", "n", "pos", "last", "own", F.col("x.v").alias("a"), "x.m", "x.at", "x.end", "x.other")
+        met = met.where("a <> v").where(may("n", "pos", "m", "at")).where(missing("n", "own", "last", "m", "other", "end"))
+        met = met.groupBy("v", "a").agg(*seen()).where(MAY)
+        return met.groupBy("v").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("v").alias("b"))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b) of vertices those with the similarity."""
-        side = lambda c: self.prefixes.select(F.col("v").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
-        left = stage(map_arrow(both.select("a", "b", "na", "nb", "pa", "pb"), _bounded, "a long, b long"), "jaccard")
-        wanted = left.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
         one = self.rows.where("prefix is not null").join(wanted, "v", "left_semi").groupBy("v").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
         one = stage(one.select(F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash")), "jaccard")
-        if (n := one.count()) == 0:
-            return left
-        texts = self.docs.join(F.broadcast(one) if n <= BROADCAST else one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi")
-        sets = stage(map_arrow(texts.select("text"), _sets, "v long, tokens array<long>").groupBy("v").agg(F.first("tokens").alias("tokens")), "jaccard")
-        both = left.join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb")), "b")
+        texts = self.docs.join(F.broadcast(one) if one.count() <= BROADCAST else one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi")
+        sets = stage(map_arrow(texts.select("text"), _sets, "v long, tokens array<long>"), "jaccard")  # a set may come twice
+        both = pairs.join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb")), "b")
         return stage(map_arrow(both.select("a", "b", "ta", "tb"), _similar, "a long, b long"), "jaccard")
 
-    def nearest(self) -> DataFrame:
-        """(a, b): each vertex b with the one that comes first at most of its tokens."""
-        first = self.shared.groupBy("token").agg(F.min("v").alias("a"))
-        met = self.shared.join(first, "token").where("a <> v").groupBy("v", "a").agg(F.count("*").alias("n"))
-        return met.groupBy("v").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("v").alias("b"))
-
     def across(self, links: DataFrame) -> DataFrame:
-        """Distinct pairs of vertices in different components that no group's bound rules out."""
-        ship(self.docs.sparkSession)
+        """Distinct pairs of vertices in different components that no bound rules out."""
         found = components(links).select(F.col("id").alias("v"), "component")
-        members = self.prefixes.select("v", "n").join(found, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        sizes = members.groupBy("component").agg(F.count("*").alias("members"))
-        members = join_on_hot(members, sizes.withColumn("__n", F.col("members")), ["component"], "__n", "inner").drop("__n")
-        block = F.pmod(F.xxhash64("v"), F.ceil(F.col("members") / GROUP))
-        members = stage(members.withColumn("g", F.when(F.col("members") == 1, F.col("v")).otherwise(F.xxhash64("component", block))), "jaccard")
+        members = self.shared.select("v", "n").distinct().join(found, "v", "left").join(self.nearest.select(F.col("b").alias("v"), "a"), "v", "left")
+        members = members.select("v", "n", F.coalesce("component", "v").alias("component"), F.col("component").isNotNull().alias("linked"), F.coalesce("component", "a", "v").alias("label"), F.floor(F.log("n") / F.log(F.lit(1.2))).alias("band"))
+        kinds = ["linked", "label", "band"]
+        counts = members.groupBy(*kinds).agg(F.count("*").alias("__n"), F.count("*").alias("many"))
+        members = join_on_hot(members, counts, kinds, "__n", "inner")
+        sizes = members.where("linked").groupBy("component").agg(F.count("*").alias("members"), F.count("*").alias("__m"))
+        members = join_on_hot(members.drop("__n"), sizes, ["component"], "__m", "left").drop("__m")
+        block = F.pmod(F.xxhash64("v"), F.ceil(F.col("many") / GROUP))
+        members = members.select("v", "component", "linked", F.coalesce("members", F.lit(1)).alias("members"), F.xxhash64(*kinds, block).alias("g"))
         # tokens at which several components stand
-        at = self.shared.join(members.drop("n"), "v")
+        at = self.shared.join(members.join(self.vertices, "v"), "v")
         mixed = at.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-        at = stage(at.join(mixed, "token", "left_semi").select("token", "v", "n", "component", "members", "g"), "jaccard")
-        alone = members.where("members = 1").join(self.prefixes.drop("n"), "v")
-        alone = alone.select("g", F.col("n").alias("low"), F.col("n").alias("high"), F.when(F.size("prefix") < F.col("n"), F.element_at("prefix", -1)).otherwise(-1).alias("last"), F.col("prefix").alias("union"))
-        several = members.where("members > 1").join(self.prefixes.drop("n"), "v").select("g", "n", "prefix")
-        groups = stage(alone.unionByName(several.groupBy("g").applyInArrow(_unions, "g long, low int, high int, last long, union array<long>")), "jaccard")
-        # a vertex is held against the groups of larger components (of equal ones, the larger id) at its tokens
-        there = at.select("token", F.col("g").alias("g"), F.col("component").alias("c"), F.col("members").alias("m")).distinct()
-        there = there.join(groups.select("g", "low", "high"), "g")
-        met = at.drop("g").join(there, "token").where("c <> component and (m > members or m = members and c > component) and 4 * high >= 3 * n and 4 * n >= 3 * low")
-        met = stage(met.select("v", "g").distinct(), "jaccard")
-        both = met.join(self.prefixes, "v").join(groups, "g").select("v", "g", "n", "prefix", "low", "last", "union")
-        opened = map_arrow(both, _qualified, "v long, g long")
-        return stage(opened.join(members.select("g", F.col("v").alias("b")), "g").select(F.col("v").alias("a"), "b").distinct(), "jaccard")
+        at = stage(at.join(mixed, "token", "left_semi").select("token", "v", "n", "pos", "last", "own", "component", "linked", "members", "g"), "jaccard")
+        groups = at.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("least"), F.min("last").alias("end0"), F.max("last").alias("end1"), F.min("own").alias("other"), F.first("linked").alias("l"), F.first("members").alias("k"), F.first("component").alias("c"), F.count("*").alias("here"))
+        groups = groups.withColumnRenamed("g", "h")
+        # a vertex is held against the groups of larger components (of equal ones, the larger id), single ones also against each other
+        met = at.join(groups, "token").where("(l and c <> component and (k > members or k = members and c > component)) or (not l and not linked and (h <> g or here > 1))")
+        met = met.where("7 * (n - pos) >= 3 * (n + low) and 7 * (high - least) >= 3 * (n + low)")
+        met = met.where("(last <= end1 and 7 * (n - own) >= 3 * (n + low)) or (end0 < last and 7 * (high - other) >= 3 * (n + low))").select("token", "v", "n", "pos", "last", "own", "h")
+        inside = at.select("token", F.col("g").alias("h"), F.col("v").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("last").alias("end"), F.col("own").alias("other"), "linked")
+        opened = met.join(inside, ["token", "h"]).where("v <> b and (linked or b > v)").where(may("n", "pos", "m", "at")).where(missing("n", "own", "last", "m", "other", "end"))
+        return stage(opened.groupBy("v", "b").agg(*seen()).where(MAY).select(F.col("v").alias("a"), "b"), "jaccard")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, links (pairs of different sets that were compared and linked
-    the vertex, not all that there are): one row for each row of docs."""
+    """doc_id, n_shingles, component_id: one row for each row of docs."""
     matrix = Matrix(docs)
-    links = matrix.similar(matrix.nearest())
+    links = matrix.similar(matrix.nearest)
     links = stage(links.union(matrix.similar(matrix.across(links))), "jaccard")
     found = components(links).select(F.col("id").alias("v"), "component")
     rows = matrix.rows.select("doc_id", "n", "v")
