@@ -3,10 +3,16 @@ built-in expressions. Vectors of different length have no distance (null), and s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewater.cluster import ship
 
 #: SQL names, for statements; the bodies are inlined by the analyzer.
 SQL_FUNCTIONS = {
@@ -108,13 +114,118 @@ def top_k(df: DataFrame, column: str, query: Sequence[float], k: int, metric: st
     return df.withColumn("distance", distance).orderBy("distance", id_column).limit(k)
 
 
+#: Vectors and queries of a task at most; queries whose distances are in memory at once.
+BLOCK, QUERY_BLOCK, CHUNK = 8192, 1024, 128
+
+
+def _exact(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances of rows of q and v, summed in the order of the built-in expressions."""
+    s, nq, nv = np.zeros(len(q)), np.zeros(len(q)), np.zeros(len(q))
+    for x, y in zip(q.T, v.T, strict=True):
+        s += (x - y) * (x - y) if metric == "l2" else x * y
+        if metric == "cosine":
+            nq, nv = nq + x * x, nv + y * y
+    if metric == "l2":
+        return np.sqrt(s)
+    if metric == "ip":
+        return -s
+    n = np.sqrt(nq) * np.sqrt(nv)
+    return np.maximum(0.0, 1.0 - np.where(n == 0, 0.0, s / np.where(n == 0, 1.0, n)))
+
+
+def _surely_farther(metric: str, q: np.ndarray, v: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Of each pair, whether rounding can't hide that k vectors are nearer."""
+    nq, nv, d = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(v, axis=1)[None, :], -(q @ v.T)
+    if metric == "l2":
+        d, slack = nq**2 + nv**2 + 2 * d, 1e-9 * (nq**2 + nv.max() ** 2)
+    elif metric == "ip":
+        slack = 1e-9 * nq * nv.max()
+    else:
+        n = nq * nv
+        d, slack = np.maximum(0.0, 1 + np.where(n == 0, 0.0, d / np.where(n == 0, 1.0, n))), 1e-9
+    d[own] = np.inf
+    return d > np.partition(d, k - 1, axis=1)[:, k - 1 : k] + slack
+
+
+def _nearest(k: int, metric: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The k nearest vectors of a block for each of its queries; pairs without a distance come last."""
+
+    def f(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        asks, ids = group["__ask"].to_numpy(), group["__id"].to_numpy()
+        _, code = np.unique(ids, return_inverse=True)
+        size = np.array([-1 if x is None else len(x) for x in group["__v"]], dtype=int)
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for n in np.unique(size[asks]):
+            q, v = np.flatnonzero(asks & (size == n)), np.flatnonzero(~asks & (size == n) & (n >= 0))
+            others = np.flatnonzero(~asks & ((size != n) | (n < 0)))
+            others = others[np.argsort(code[others], kind="stable")]
+            m = np.array([x for x in group["__v"].iloc[v]], dtype=float).reshape(len(v), max(n, 0))
+            for at in range(0, len(q), CHUNK):
+                some = q[at : at + CHUNK]
+                if len(v):
+                    own = code[some][:, None] == code[v][None, :]
+                    mine, left = np.array([x for x in group["__v"].iloc[some]], dtype=float).reshape(len(some), n), ~own
+                    with np.errstate(all="ignore"):
+                        if len(v) > k:
+                            left &= ~_surely_farther(metric, mine, m, own, k)
+                        a, b = np.nonzero(left)
+                        for i in range(0, len(a), 1 << 17):
+                            x, y = a[i : i + (1 << 17)], b[i : i + (1 << 17)]
+                            found.append((some[x], v[y], _exact(metric, mine[x], m[y])))
+                for i in some:  # what has no distance fills up the places that are left
+                    if sum(code[v] != code[i]) < k and len(others):
+                        fill = others[code[others] != code[i]][:k]
+                        found.append((np.full(len(fill), i), fill, np.full(len(fill), np.inf)))
+        a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        none = size[a] != size[b]
+        none |= size[a] < 0
+        order = np.lexsort((code[b], d, none, a))
+        a, b, d, none = a[order], b[order], d[order], none[order]
+        first = np.searchsorted(a, a)
+        best = np.arange(len(a)) - first < k
+        out = pd.DataFrame({"query_id": ids[a[best]], "vec_id": ids[b[best]], "distance": pd.array(d[best], dtype="object")})
+        out.loc[none[best], "distance"] = None
+        return out
+
+    return f
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str, keys: Sequence[str]) -> DataFrame:
+    """query_id, vec_id, distance: the k nearest vectors of each query in each group of keys. A query is not its
+    own neighbour; rows without an id take no part."""
+    ship(queries.sparkSession)
+
+    def side(df: DataFrame, name: str, column: str, ask: bool) -> DataFrame:
+        v = F.col(column).cast("array<double>")
+        whole = F.when(~F.exists(v, lambda x: x.isNull()), v)
+        return df.where(F.col(name).isNotNull()).select(*keys, F.col(name).alias("__id"), whole.alias("__v"), F.lit(ask).alias("__ask"))
+
+    rows = side(queries, "query_id", "q", True).unionByName(side(vectors, "vec_id", "v", False))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("distance", T.DoubleType())])
+    return rows.groupBy(*keys).applyInPandas(_nearest(k, metric), schema)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, distance, rank: each query's k nearest, ties by id."""
+    w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
+
+
+def numbers(n: int) -> Column:
+    """0 to n - 1, a row each."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def dealt(column: str, n: int | Column, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(seed)), n if isinstance(n, Column) else F.lit(n)).cast("int")
+
+
 def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", id_column: str = "vec_id", column: str = "embedding", blocks: int | None = None) -> DataFrame:
     """query_id, vec_id, distance, rank: the k nearest vectors of each query. Queries are dealt out in
-    blocks against blocks of vectors, each keeps its own k best, and those are merged."""
-    n = blocks or max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    q = queries.select(F.col(id_column).alias("query_id"), F.col(column).cast("array<double>").alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__block"))
-    v = vectors.select(F.col(id_column).alias("vec_id"), F.col(column).cast("array<double>").alias("__v"), F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int").alias("__block"))
-    pairs = q.join(v, "__block").where("query_id <> vec_id").select("query_id", "vec_id", "__block", DISTANCES[metric]("__q", "__v").alias("distance"))
-    order = [F.col("distance"), F.col("vec_id")]
-    near = pairs.withColumn("__r", F.row_number().over(Window.partitionBy("query_id", "__block").orderBy(*order))).where(F.col("__r") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
+    blocks against blocks of vectors, each keeps its own k best, and those are merged. Within a block, products of
+    matrices tell which vectors may be near, and only their distances are worked out."""
+    n = blocks or max(1, math.ceil(vectors.count() / BLOCK))
+    parts = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    q = queries.select(F.col(id_column).alias("query_id"), F.col(column).alias("q"), dealt(id_column, parts, 1).alias("__part"), numbers(n).alias("__block"))
+    v = vectors.select(F.col(id_column).alias("vec_id"), F.col(column).alias("v"), dealt(id_column, n).alias("__block"), numbers(parts).alias("__part"))
+    return ranked(nearest(q, v, k, metric, ["__block", "__part"]), k)
