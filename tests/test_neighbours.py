@@ -59,3 +59,10 @@ def test_recall_is_of_every_20th_vector_and_defaults(spark, sf, monkeypatch):
     monkeypatch.setattr(IVFIndex, "batch", lambda self, q, k, *a, **b: (asked.extend(r["vec_id"] for r in q.collect()), passed.append((a, b))) and batch(self, q, k, *a, **b))
     assert registry.ann_recall(spark, sf).first()[0] >= 0.9
     assert sorted(asked) == list(range(0, 500, 20)) and passed == [((), {})]
+
+
+def test_search_set_grows_with_the_table(spark, sf):
+    from oracle import connect, rows
+
+    found = registry.QUERIES["knn_search_set"](spark, sf).toPandas()
+    assert set(found["query_id"]) == set(range(0, 500, 20)) and rows(found) == rows(connect(sf).sql(registry.SQL["knn_search_set"]).df())

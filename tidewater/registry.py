@@ -181,6 +181,12 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "vec_id")
 
 
+def knn_search_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_batch with every 20th vector as a query."""
+    e = load(spark, sf_dir, "embeddings")
+    return vector.knn_batch(e.where("vec_id % 20 = 0"), e, 5, "l2").select("query_id", "rank", "vec_id")
+
+
 def analyze_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders")
     aggs = [x for c in ("o_orderkey", "o_custkey", "o_totalprice") for x in (F.count(c).alias(f"{c}_n"), F.count_distinct(c).alias(f"{c}_ndv"), F.min(c).cast("double").alias(f"{c}_lo"), F.max(c).cast("double").alias(f"{c}_hi"))]
@@ -316,6 +322,7 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "range_join": (range_join, "SELECT p_partkey, n_nationkey FROM part JOIN nation ON p_retailprice BETWEEN n_nationkey * 40 + 900 AND n_nationkey * 40 + 960"),
     "salted_join": (salted_join, "SELECT s_name, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name"),
     "knn_batch": (knn_batch, "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND q.vec_id <> v.vec_id) t WHERE rank <= 5"),
+    "knn_search_set": (knn_search_set, "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) t WHERE rank <= 5"),
     "analyze_orders": (analyze_orders, "SELECT " + ", ".join(f"count({c}) AS {c}_n, count(DISTINCT {c}) AS {c}_ndv, CAST(min({c}) AS DOUBLE) AS {c}_lo, CAST(max({c}) AS DOUBLE) AS {c}_hi" for c in ("o_orderkey", "o_custkey", "o_totalprice")) + " FROM orders"),
     "selectivity_exact": (selectivity_exact, "SELECT round(avg(CAST(o_totalprice < 100000 AS DOUBLE)), 6) AS lt, round(avg(CAST(o_orderstatus = 'F' AS DOUBLE)), 6) AS eq, round(avg(CAST(o_orderkey >= 700 AS DOUBLE)), 6) AS ge FROM orders"),
     "estimates": (estimates, None),
