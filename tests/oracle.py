@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,7 +17,7 @@ def connect(sf):
 
 
 def plain(x):
-    if x is None or x != x:
+    if pd.api.types.is_scalar(x) and pd.isna(x):
         return "NULL"
     if isinstance(x, bool):
         return str(x)
