@@ -36,13 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back. It cuts the lineage; a lost executor
     loses nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*staged: DataFrame) -> None:
+    """Delete what stage() wrote, once all that reads it is written itself."""
+    for df in staged:
+        if path := getattr(df, "_staged", None):
+            delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +126,11 @@ def join_on_hot(left: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return out.select(*left.columns, *[F.col("__group")[c].alias(c) for c in groups.columns if c not in keys])
 
 
+def join_checked(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 500_000) -> DataFrame:
+    """left joined with a staged table of few columns, which is broadcast if it has at most `most` rows."""
+    return left.join(F.broadcast(right) if right.count() <= most else right, key, how)
+
+
 # --- words ---------------------------------------------------------------------------------
 
 
@@ -147,13 +166,50 @@ def ngrams(w: np.ndarray, n: int) -> np.ndarray:
 
 # --- components ----------------------------------------------------------------------------
 
+#: Edges that one task joins; more are joined in rounds of all tasks.
+ONE_TASK = 1 << 20
+
+
+class UnionFind(dict):
+    """Sets of numbers, each with its least one."""
+
+    def __missing__(self, x: int) -> int:
+        return x
+
+    def find(self, x: int) -> int:
+        root = x
+        while (up := self[root]) != root:
+            root = up
+        while (up := self[x]) != root and x != root:
+            self[x], x = root, up
+        return root
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    links, nodes = UnionFind(), set()
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            links.join(x, y)
+            nodes |= {x, y}
+    ids = sorted(nodes)
+    for i in range(0, len(ids), 10_000):
+        some = ids[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([links.find(x) for x in some], pa.int64())], ["id", "component"])
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id reachable, for every id with an edge. Alternating large-star
-    and small-star steps; each round is written to the shared folder, and rounds grow with the
-    logarithm of the longest path."""
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    """(id, component): the smallest id reachable, for every id with an edge; staged. Few edges (ONE_TASK) are
+    joined by one task; more by alternating large-star and small-star steps, where each round is written to
+    the shared folder, and rounds grow with the logarithm of the longest path."""
+    pairs = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
     pairs = stage(pairs, "cc")
+    if pairs.count() <= ONE_TASK:
+        return stage(map_arrow(pairs.repartition(1), _joined, "id long, component long"), "cc")
     seen = None
     while True:
         both = pairs.union(pairs.select("v", "u"))
@@ -161,10 +217,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = stage(small.where("u <> v").distinct(), "cc")
+        before, pairs = pairs, stage(small.where("u <> v").distinct(), "cc")
+        drop(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == now:
             break
         seen = now
     roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    return stage(pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), "cc")

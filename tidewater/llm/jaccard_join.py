@@ -7,20 +7,21 @@ same set are one vertex, so copies cost nothing.
 
 1. All shingles get one order: by hash, but the most frequent ones (at most HOT of them, found by
    counting every document's shingles) last. Sets with similarity t share one of the first
-   n - ceil(t n) + 1 in that order: their prefix. The matrix holds the prefixes' tokens against the
-   vertices, with their places in the prefix.
-2. Every vertex meets one other, that with which it shares most tokens among those that stand out at a
-   token by how much of their prefix is shared. Pairs that pass are linked.
-3. Similar vertices form groups: linked ones, or single ones that met the same vertex, of about one size
-   and GROUP members. The matrix then holds, for each token, the groups whose union has it, with their
-   least and greatest size and place. A vertex is held against the groups of larger components at its
-   tokens: what comes before the first common token can't be common, so places and sizes bound the
-   overlap with every member. Only groups that qualify at a token are opened, and their members there
-   are bounded in the same way, each by itself.
-
-Every similar pair shares a prefix token, so it is in one component after step 2, or is compared in
-step 3 unless a bound rules it out: no link between different components is lost. Pairs that pass the
-bounds are decided on the whole sets.
+   n - ceil(t n) + 1 in that order: their prefix.
+2. Similar documents form groups. At each token of several prefixes the vertex with the least id leads, and
+   a vertex goes to the group of the leader that it shares most tokens with. Groups of more than GROUP
+   tokens are split into blocks. A group is one task's work: it holds its members' sets as an index from
+   the tokens of their union to members, counts overlaps there, and joins what is similar. The leader is
+   held against every block of its group.
+3. The matrix holds, for each token of a prefix, the groups that have it in a prefix, with the least
+   and greatest size, place and component. A vertex is a query to the groups of other components at its
+   tokens that no size or place rules out; of two groups the larger one is asked. A query comes to a
+   group once, with its whole set. Its overlap with the union of the group bounds that with every member;
+   only groups that qualify are opened, and overlaps with their members are then counted.
+
+Every similar pair shares a prefix token. It is in one group and is compared there, or its groups meet at
+that token, or it is in one component already: no link between different components is lost. All
+decisions are made on the whole sets; no pair but the links between components leaves a task.
 
 Repeated rows, and rows with a null doc_id, are documents of their own; a component of nulls only has a
 null id. An empty table gives no rows.
@@ -28,23 +29,25 @@ null id. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHashes, components, join_on_hot, map_arrow, ngrams, parallelism, slices, stage
+from tidewater.llm.common import UnionFind, WordHashes, components, drop, join_checked, join_on_hot, map_arrow, ngrams, parallelism, slices, stage
 
 K = 5
-#: Most frequent shingles that stand last in the order, and members of a group.
-HOT, GROUP = 1 << 16, 256
+#: Most frequent shingles that stand last in the order, and tokens in a block of a group.
+HOT, GROUP = 1 << 16, 1 << 21
 #: Shingles that are counted at once, and the least count there that is passed on.
 COUNTED, LEAST = 1 << 21, 4
-#: So many ids are broadcast at most to pick out texts; more are joined by a shuffle.
-BROADCAST = 500_000
+#: A frequent token's rows are dealt out in so many parts if it has over a SALT_SHARE-th of all rows.
+SALTS, SALT_SHARE = 64, 1000
+#: Queries that a group answers at once.
+ASKED = 64
 TOP = np.uint64(1 << 62)
 
 _hash = WordHashes()
@@ -69,9 +72,31 @@ def ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~is_hot] >> np.uint64(2), np.sort(TOP + rank[at[is_hot]])])
 
 
+def _views(column: pa.Array) -> list[np.ndarray]:
+    flat, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [flat[i - at[0] : j - at[0]] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """doc_id, n, v, tokens: a set comes once a task, with its first document."""
+    seen: set[int] = set()
+    for b in slices(batches):
+        sizes, vertices, sets = [], [], []
+        for t in b.column(1).to_pylist():
+            s = shingles(t or "")
+            v = vertex(s)
+            sizes.append(len(s))
+            vertices.append(v)
+            sets.append(None if not len(s) or v in seen else s.view(np.int64))
+            seen.add(v)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(vertices, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "n", "v", "tokens"])
+
+
 def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     held: list[np.ndarray] = []
-    size, seen = 0, set()
+    size = 0
 
     def counted() -> pa.RecordBatch:
         tokens, n = np.unique(np.concatenate(held), return_counts=True)
@@ -79,179 +104,282 @@ def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
 
     for b in slices(batches):
-        for t in b.column(0).to_pylist():
-            s = shingles(t or "")
-            if len(s) and (v := vertex(s)) not in seen:  # a copy within the task counts once
-                seen.add(v)
-                held.append(s)
-                size += len(s)
+        held.append(b.column(0).flatten().to_numpy().view(np.uint64))
+        size += len(held[-1])
         if size > COUNTED:
             yield counted()
             held, size = [], 0
-            if len(seen) > 1_000_000:
-                seen.clear()
     if held:
         yield counted()
 
 
 def _prefixes(batches: Iterable[pa.RecordBatch], hot: np.ndarray, rank: np.ndarray) -> Iterable[pa.RecordBatch]:
-    seen: set[int] = set()
+    """token, v, n, pos of every prefix."""
     for b in slices(batches):
-        sizes, vertices, prefixes = [], [], []
-        for t in b.column(1).to_pylist():
-            s = shingles(t or "")
-            n, v = len(s), vertex(s)
-            sizes.append(n)
-            vertices.append(v)
-            prefixes.append(None if not n or v in seen else ordered(s, hot, rank)[: n - (3 * n + 3) // 4 + 1].view(np.int64))
-            seen.add(v)
-        if len(seen) > 1_000_000:
-            seen.clear()
+        v, sets = b.column(0).to_numpy(), _views(b.column(1))
+        n = np.array([len(s) for s in sets])
+        size = n - (3 * n + 3) // 4 + 1
+        flat = [ordered(s, hot, rank)[:k] for s, k in zip(sets, size, strict=True)]
+        pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array(sizes, pa.int32()), pa.array(vertices, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "v", "prefix"]
+            [pa.array(np.concatenate(flat).view(np.int64)), pa.array(np.repeat(v, size)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(pos.astype(np.int32))],
+            ["token", "v", "n", "pos"],
         )
 
 
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """token, v, n, pos: of rows sorted by (token, v) those whose token has several vertices, once each."""
-    names = ["token", "v", "n", "pos"]
-    last = None  # the row before, which is decided when its successor is known
+def _shared(batches: Iterable[pa.RecordBatch], salted: int) -> Iterable[pa.RecordBatch]:
+    """Of rows sorted by (token, salt, v) those whose token has several vertices, once each, with the first
+    vertex at their token. Rows from the token `salted` on stay in any case: others may be in another task."""
+    names = ["token", "v", "n", "pos", "a", "m", "at"]
+    held: list[np.ndarray] | None = None  # the last row and the first of its token; it is decided when its successor is known
     joined = False
     for b in batches:
+        if not b.num_rows:
+            continue
         c = [x.to_numpy() for x in b.columns]
-        if last is not None:
-            c = [np.append(x, y) for x, y in zip(last, c, strict=True)]
-        new = np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))
+        if held is not None:
+            c = [np.append(x, y) for x, y in zip(held[:5], c, strict=True)]
+        key = (c[0][1:] != c[0][:-1]) | (c[4][1:] != c[4][:-1])
+        new = np.append(True, key | (c[1][1:] != c[1][:-1]))
         c = [x[new] for x in c]
-        if not len(c[0]):
-            continue
-        same = c[0][1:] == c[0][:-1]
+        same = (c[0][1:] == c[0][:-1]) & (c[4][1:] == c[4][:-1])
+        begins = np.append(True, ~same)
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), 0))
+        lead = [c[1][first], c[2][first], c[3][first]]
+        if held is not None:  # rows of the token that goes on have the leader from before
+            goes_on = first == 0
+            lead = [np.where(goes_on, h, x) for h, x in zip(held[5:], lead, strict=True)]
         before = np.append(joined, same)
-        out = before[:-1] | same
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in c], names)
-        last, joined = [x[-1:] for x in c], bool(before[-1])
-    if last is not None and joined:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names)
-
-
-def _views(column: pa.Array) -> list[np.ndarray]:
-    flat, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
-    return [flat[i - at[0] : j - at[0]] for i, j in zip(at[:-1], at[1:], strict=True)]
-
-
-def may(n: str, pos: str, m: str, at: str) -> str:
-    """Whether sets of n and m whose first common tokens stand at these places can be similar enough."""
-    return f"7 * least({n} - {pos}, {m} - {at}) >= 3 * ({n} + {m})"
-
-
-def missing(n: str, own: str, last: str, m: str, other: str, end: str) -> str:
-    """Whether such sets can be similar, by the tokens of their prefixes that no other prefix holds (own, other):
-    those of the prefix that ends first in the order are all missing from the other set."""
-    return f"IF({last} <= {end}, 7 * ({n} - {own}), 7 * ({m} - {other})) >= 3 * ({n} + {m})"
-
-
-def seen() -> list[Column]:
-    """Of all common tokens of two sets up to some place: how many, and where the last of them stands. What
-    stands before it without being common is missing from the other set."""
-    return [F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.first("n").alias("n"), F.first("m").alias("m")]
-
-
-MAY = "7 * least(n - (pos + 1 - c), m - (at + 1 - c)) >= 3 * (n + m)"
-
-
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    for b in slices(batches, 256):
-        found = [shingles(t or "") for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([vertex(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["v", "tokens"])
-
-
-def _similar(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    for b in slices(batches, 1024):
-        keep = [7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)) for x, y in zip(_views(b.column(2)), _views(b.column(3)), strict=True)]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+        out = before[:-1] | same | (c[0][:-1] >= salted)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in [*c[:4], *lead]], names)
+        held, joined = [x[-1:] for x in [*c, *lead]], bool(before[-1])
+    if held is not None and (joined or held[0][0] >= salted):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in [*held[:4], *held[5:]]], names)
+
+
+class Group:
+    """The sets of a group: from the tokens of their union to the members that hold them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        member = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
+        by = np.argsort(flat, kind="stable")
+        flat, self.member = flat[by], member[by]
+        begins = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        self.union, self.begins, self.ends = flat[begins], begins, np.append(begins[1:], len(flat))
+        # tokens of many members are columns of a matrix: at most four times as many as a mean set has
+        self.column = np.full(len(begins), -1)
+        often = np.flatnonzero((self.ends - self.begins) * 4 > len(sets)) if len(sets) > 16 else np.zeros(0, int)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(sets), len(often)), np.float32)
+        at, length = self.places(often)
+        self.dense[self.member[at], np.repeat(np.arange(len(often)), length)] = 1.0
+
+    def places(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the members of some tokens stand, and how many there are of each."""
+        length = self.ends[tokens] - self.begins[tokens]
+        return np.repeat(self.begins[tokens] - (np.cumsum(length) - length), length) + np.arange(length.sum()), length
+
+    def hits(self, s: np.ndarray) -> np.ndarray:
+        """Which tokens of the union a set holds; their number bounds its overlap with every member."""
+        at = np.minimum(np.searchsorted(self.union, s), len(self.union) - 1)
+        return at[self.union[at] == s]
+
+    def similar(self, sizes: np.ndarray, hits: list[np.ndarray]) -> np.ndarray:
+        """For each query (its size and hits), which members are similar."""
+        overlap = np.zeros((len(hits), len(self.n)), np.int64)
+        columns = np.zeros((len(hits), self.dense.shape[1]), np.float32)
+        for i, h in enumerate(hits):
+            c = self.column[h]
+            columns[i, c[c >= 0]] = 1.0
+            overlap[i] = np.bincount(self.member[self.places(h[c < 0])[0]], minlength=len(self.n))
+        if columns.size:
+            overlap += np.rint(columns @ self.dense.T).astype(np.int64)
+        return 7 * overlap >= 3 * (sizes[:, None] + self.n[None, :])
+
+    def ask(self, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, the members similar to it) of the queries that the group is opened for."""
+        hits = [self.hits(s) for s in sets]
+        least = self.n.min()
+        opened = [i for i, (s, h) in enumerate(zip(sets, hits, strict=True)) if 7 * len(h) >= 3 * (len(s) + least)]
+        for at in range(0, len(opened), ASKED):
+            some = opened[at : at + ASKED]
+            found = self.similar(np.array([len(sets[i]) for i in some]), [hits[i] for i in some])
+            for i, row in zip(some, found, strict=True):
+                if row.any():
+                    yield i, np.flatnonzero(row)
+
+    def joined(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Each member's component: the place of its first member. Who is in the first one's component when
+        its turn comes asks nothing, as all that it could join with it there are in it already."""
+        links = UnionFind()
+        todo, at = np.ones(len(sets), bool), 0
+        while todo.any():
+            some = np.flatnonzero(todo)[: 1 if at == 0 else ASKED]
+            todo[some], at = False, at + 1
+            for i, members in self.ask([sets[i] for i in some]):
+                for m in members.tolist():
+                    links.join(int(some[i]), m)
+            main = links.find(0)
+            for x in np.flatnonzero(todo).tolist():
+                todo[x] = links.find(x) != main
+        return np.array([links.find(i) for i in range(len(sets))])
+
+
+def groups_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]]:
+    """Of rows (h, query, v, c, tokens) sorted by (h, query, v): each group's members, and its queries in parts.
+    A vertex that comes more than once counts once."""
+
+    def runs() -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        last = None
+        for b in slices(batches, 256):
+            h, query, v, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            sets = _views(b.column(4))
+            keys = list(zip(h.tolist(), query.tolist(), v.tolist(), strict=True))
+            keep = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]
+            last = keys[-1] if keys else last
+            i = 0
+            while i < len(keep):
+                j = i
+                while j < len(keep) and keys[keep[j]][:2] == keys[keep[i]][:2]:
+                    j += 1
+                at = keep[i:j]
+                yield *keys[at[0]][:2], v[at], c[at], [sets[x].copy() for x in at]
+                i = j
+
+    source = runs()
+    ahead = next(source, None)
+    while ahead is not None:
+        h, vs, cs, sets = ahead[0], [], [], []
+        while ahead is not None and ahead[0] == h and not ahead[1]:
+            vs.append(ahead[2])
+            cs.append(ahead[3])
+            sets += ahead[4]
+            ahead = next(source, None)
+
+        def queries(h: int = h) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+            nonlocal ahead
+            while ahead is not None and ahead[0] == h:
+                now, ahead = ahead, next(source, None)
+                yield now[2], now[3], now[4]
+
+        asked = queries()
+        if sets:
+            yield np.concatenate(vs), np.concatenate(cs), sets, asked
+        for _ in asked:
+            pass
+
+
+def _inside(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """v, c, link: the component of every member within its group, and components that queries link with."""
+    for v, _, sets, queries in groups_of(batches):
+        group = Group(sets)
+        c = v[group.joined(sets)]
+        out = [(v, c, np.zeros(len(v), bool))]
+        for asking, _, asked in queries:
+            for i, members in group.ask(asked):
+                to = np.unique(c[members])
+                out.append((np.full(len(to), asking[i]), to, np.ones(len(to), bool)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["v", "c", "link"])
+
+
+def _across(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """a, b: components that a query links."""
+    for _, c, sets, queries in groups_of(batches):
+        group, found = Group(sets), set()
+        for _, own, asked in queries:
+            for i, members in group.ask(asked):
+                found |= {(int(own[i]), x) for x in np.unique(c[members]).tolist() if x != own[i]}
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 class Matrix:
     """The token-group matrix of a table of documents."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.docs = self.docs.withColumn("text_hash", F.xxhash64("text"))
-        n = parallelism(docs.sparkSession)
-        counts = map_arrow(self.docs.select("text"), _frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.parts = parallelism(docs.sparkSession)
+        self.rows = stage(map_arrow(docs, _sets, "doc_id long, n int, v long, tokens array<long>"), "jaccard", "snappy")  # hashes don't compress
+        self.sets = self.rows.where("tokens is not null").select("v", "tokens")
+        self.shared = stage(self._shared(), "jaccard")
+        self.members = stage(self._members(), "jaccard")
+
+    def _shared(self) -> DataFrame:
+        counts = map_arrow(self.sets.select("tokens"), _frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
         top = counts.orderBy(F.desc("n"), "token").limit(HOT).collect()  # at most HOT rows
         hot = np.array([r["token"] for r in top], np.int64).view(np.uint64)
         rank = np.arange(len(hot), 0, -1).astype(np.uint64)  # the most frequent last
         by = np.argsort(hot)
-        self.rows = stage(map_arrow(self.docs, _prefixes, "doc_id long, text_hash long, n int, v long, prefix array<long>", hot=hot[by], rank=rank[by]), "jaccard")
-        tokens = self.rows.where("prefix is not null").select("v", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "v", "n", "pos")
-        tokens = tokens.repartition(n, "token").sortWithinPartitions("token", "v")
-        self.shared = stage(map_arrow(tokens, _shared, "token long, v long, n int, pos int"), "jaccard")
-        # of a vertex: the last token of its prefix, how many no other prefix has, and the share that others have
-        held = self.shared.groupBy("v").agg(F.count("*").alias("held"))
-        ends = self.rows.where("prefix is not null").select("v", "n", F.element_at("prefix", -1).alias("last"), F.size("prefix").alias("size")).dropDuplicates(["v"])
-        self.vertices = stage(ends.join(held, "v").select("v", "last", (F.col("size") - F.col("held")).alias("own"), (F.col("held") / F.col("size")).alias("share")), "jaccard")
-        self.nearest = stage(self._nearest(), "jaccard")
-
-    def _nearest(self) -> DataFrame:
-        """(a, b): each vertex b with one that may be similar."""
-        # most of a prefix is shared near the middle of a group of similar sets
-        rows = self.shared.join(self.vertices, "v")
-        first = rows.groupBy("token").agg(F.max(F.struct("share", "v", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("last").alias("end"), F.col("own").alias("other"))).alias("x"))
-        met = rows.join(first, "token").select("v", "n", "pos", "last", "own", F.col("x.v").alias("a"), "x.m", "x.at", "x.end", "x.other")
-        met = met.where("a <> v").where(may("n", "pos", "m", "at")).where(missing("n", "own", "last", "m", "other", "end"))
-        met = met.groupBy("v", "a").agg(*seen()).where(MAY)
-        return met.groupBy("v").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("v").alias("b"))
-
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) of vertices those with the similarity."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        one = self.rows.where("prefix is not null").join(wanted, "v", "left_semi").groupBy("v").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
-        one = stage(one.select(F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash")), "jaccard")
-        texts = self.docs.join(F.broadcast(one) if one.count() <= BROADCAST else one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi")
-        sets = stage(map_arrow(texts.select("text"), _sets, "v long, tokens array<long>"), "jaccard")  # a set may come twice
-        both = pairs.join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb")), "b")
-        return stage(map_arrow(both.select("a", "b", "ta", "tb"), _similar, "a long, b long"), "jaccard")
-
-    def across(self, links: DataFrame) -> DataFrame:
-        """Distinct pairs of vertices in different components that no bound rules out."""
-        found = components(links).select(F.col("id").alias("v"), "component")
-        members = self.shared.select("v", "n").distinct().join(found, "v", "left").join(self.nearest.select(F.col("b").alias("v"), "a"), "v", "left")
-        members = members.select("v", "n", F.coalesce("component", "v").alias("component"), F.col("component").isNotNull().alias("linked"), F.coalesce("component", "a", "v").alias("label"), F.floor(F.log("n") / F.log(F.lit(1.2))).alias("band"))
-        kinds = ["linked", "label", "band"]
-        counts = members.groupBy(*kinds).agg(F.count("*").alias("__n"), F.count("*").alias("many"))
-        members = join_on_hot(members, counts, kinds, "__n", "inner")
-        sizes = members.where("linked").groupBy("component").agg(F.count("*").alias("members"), F.count("*").alias("__m"))
-        members = join_on_hot(members.drop("__n"), sizes, ["component"], "__m", "left").drop("__m")
-        block = F.pmod(F.xxhash64("v"), F.ceil(F.col("many") / GROUP))
-        members = members.select("v", "component", "linked", F.coalesce("members", F.lit(1)).alias("members"), F.xxhash64(*kinds, block).alias("g"))
-        # tokens at which several components stand
-        at = self.shared.join(members.join(self.vertices, "v"), "v")
-        mixed = at.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-        at = stage(at.join(mixed, "token", "left_semi").select("token", "v", "n", "pos", "last", "own", "component", "linked", "members", "g"), "jaccard")
-        groups = at.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("least"), F.min("last").alias("end0"), F.max("last").alias("end1"), F.min("own").alias("other"), F.first("linked").alias("l"), F.first("members").alias("k"), F.first("component").alias("c"), F.count("*").alias("here"))
-        groups = groups.withColumnRenamed("g", "h")
-        # a vertex is held against the groups of larger components (of equal ones, the larger id), single ones also against each other
-        met = at.join(groups, "token").where("(l and c <> component and (k > members or k = members and c > component)) or (not l and not linked and (h <> g or here > 1))")
-        met = met.where("7 * (n - pos) >= 3 * (n + low) and 7 * (high - least) >= 3 * (n + low)")
-        met = met.where("(last <= end1 and 7 * (n - own) >= 3 * (n + low)) or (end0 < last and 7 * (high - other) >= 3 * (n + low))").select("token", "v", "n", "pos", "last", "own", "h")
-        inside = at.select("token", F.col("g").alias("h"), F.col("v").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("last").alias("end"), F.col("own").alias("other"), "linked")
-        opened = met.join(inside, ["token", "h"]).where("v <> b and (linked or b > v)").where(may("n", "pos", "m", "at")).where(missing("n", "own", "last", "m", "other", "end"))
-        return stage(opened.groupBy("v", "b").agg(*seen()).where(MAY).select(F.col("v").alias("a"), "b"), "jaccard")
+        bar = max(self.rows.count() // SALT_SHARE, 1)
+        salted = int(TOP) + len(hot) + 1 - sum(r["n"] > bar for r in top)
+        tokens = map_arrow(self.sets, _prefixes, "token long, v long, n int, pos int", hot=hot[by], rank=rank[by])
+        tokens = tokens.withColumn("salt", F.when(F.col("token") >= salted, F.pmod("v", F.lit(SALTS))).otherwise(0).cast("int"))
+        tokens = tokens.repartition(self.parts, "token", "salt").sortWithinPartitions("token", "salt", "v")
+        return map_arrow(tokens, _shared, "token long, v long, n int, pos int, a long, m int, at int", salted=salted)
+
+    def _members(self) -> DataFrame:
+        """v, n, label, g, size: every vertex that shares a token, with its group (a block of those of one label)."""
+        # of all common tokens of v and a: how many, and where the last one stands; what stands before it without being common is missing from the other set
+        met = self.shared.groupBy("v", "a").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.first("n").alias("n"), F.first("m").alias("m"))
+        may = "v <> a and 7 * least(n - (pos + 1 - c), m - (at + 1 - c)) >= 3 * (n + m)"
+        best = met.groupBy("v").agg(F.first("n").alias("n"), F.max(F.when(F.expr(may), F.struct("c", F.bitwise_not("a").alias("a")))).alias("best"))
+        members = stage(best.select("v", "n", F.coalesce(F.bitwise_not("best.a"), "v").alias("label")), "jaccard")
+        sizes = members.groupBy("label").agg(F.sum("n").alias("tokens"), F.count("*").alias("size")).withColumn("__n", F.col("size"))
+        members = join_on_hot(members, stage(sizes, "jaccard"), ["label"], "__n", "inner")
+        block = F.pmod(F.xxhash64("v"), F.ceil(F.col("tokens") / GROUP))
+        return members.select("v", "n", "label", F.xxhash64("label", block).alias("g"), "size")
+
+    def _open(self, rows: DataFrame, f, schema: str) -> DataFrame:
+        """f over groups: rows (h, query, v, c) with the sets."""
+        rows = join_checked(self.sets, rows, "v").select("h", "query", "v", "c", "tokens")
+        return map_arrow(rows.repartition(self.parts, "h").sortWithinPartitions("h", "query", "v"), f, schema)
+
+    def inside(self) -> tuple[DataFrame, DataFrame]:
+        """(v, c): the components within groups; (a, b): links between these components, through the leaders."""
+        several = self.members.where("size > 1")
+        blocks = several.select("label", "g").distinct()
+        asking = blocks.select(F.col("g").alias("h"), F.lit(True).alias("query"), F.col("label").alias("v"))
+        rows = several.select(F.col("g").alias("h"), F.lit(False).alias("query"), "v").union(asking).withColumn("c", F.col("v"))
+        found = stage(self._open(stage(rows, "jaccard"), _inside, "v long, c long, link boolean"), "jaccard")
+        own = found.where("not link").select("v", "c")
+        links = found.where("link").select("v", F.col("c").alias("b")).join(own, "v", "left")
+        return own, stage(links.select(F.coalesce("c", "v").alias("a"), "b").where("a <> b").distinct(), "jaccard")
+
+    def across(self, placed: DataFrame) -> DataFrame:
+        """(a, b): links between components. placed holds v, n, g, size, c."""
+        at = stage(self.shared.select("token", "v", "pos").join(placed, "v").select("token", "v", "n", "pos", "g", "size", "c"), "jaccard")
+        groups = at.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("size").alias("k"))
+        groups = stage(groups, "jaccard")
+        mixed = groups.groupBy("token").agg(F.count("*").alias("groups"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("groups > 1 and c0 <> c1").select("token")
+        groups = stage(groups.join(mixed, "token", "left_semi").withColumnRenamed("g", "h"), "jaccard")
+        met = at.join(groups, "token").where("(k > size or k = size and h > g) and (c0 <> c or c1 <> c)")
+        met = met.where("4 * n - 7 * pos >= 3 * low and 4 * high - 7 * least >= 3 * n").select("h", "v", "c").distinct()
+        met = stage(met, "jaccard")
+        holding = placed.select(F.col("g").alias("h"), "v", "c").join(met.select("h").distinct(), "h", "left_semi")
+        rows = stage(holding.select("h", F.lit(False).alias("query"), "v", "c").unionByName(met.select("h", F.lit(True).alias("query"), "v", "c")), "jaccard")
+        links = stage(self._open(rows, _across, "a long, b long").distinct(), "jaccard")
+        drop(at, groups, met, rows)
+        return links
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs."""
     matrix = Matrix(docs)
-    links = matrix.similar(matrix.nearest)
-    links = stage(links.union(matrix.similar(matrix.across(links))), "jaccard")
-    found = components(links).select(F.col("id").alias("v"), "component")
-    rows = matrix.rows.select("doc_id", "n", "v")
+    own, links = matrix.inside()
+    first = components(links)
+    placed = matrix.members.select("v", "n", "g", "size").join(own, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    placed = stage(join_checked(placed, first.withColumnRenamed("id", "c"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component"), "jaccard")
+    found = components(matrix.across(placed))
+    found = join_checked(placed.select("v", "c"), found.withColumnRenamed("id", "c"), "c", "left").select("v", F.coalesce("component", "c").alias("component"))
+    rows = stage(matrix.rows.select("doc_id", "n", "v"), "jaccard")
     classes = rows.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     classes = stage(classes.join(found, "v", "left").withColumn("component", F.coalesce("component", "v")), "jaccard")
+    drop(matrix.rows, matrix.shared, matrix.members, placed, own)
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("rows").alias("all"))
     ids = join_on_hot(classes, least.withColumn("__n", F.col("all")), ["component"], "__n", "inner").where("all > 1").select("v", "component_id", "rows")
-    out = join_on_hot(rows, ids, ["v"], "rows")
+    out = join_on_hot(rows, stage(ids, "jaccard"), ["v"], "rows")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
