@@ -9,15 +9,16 @@ same set are one vertex, so copies cost nothing.
    counting every document's shingles) last. Sets with similarity t share one of the first
    n - ceil(t n) + 1 in that order: their prefix.
 2. Similar documents form groups. At each token of several prefixes the vertex with the least id leads, and
-   a vertex goes to the group of the leader that it shares most tokens with. Groups of more than GROUP
-   tokens are split into blocks. A group is one task's work: it holds its members' sets as an index from
-   the tokens of their union to members, counts overlaps there, and joins what is similar. The leader is
-   held against every block of its group.
+   a vertex goes with the leader that it shares most tokens with, if they can be similar or are KIN at
+   least; leaders go with others in turn. Groups of more than GROUP tokens are split into blocks. A block is
+   one task's work: it holds its members' sets as an index from the tokens of their union to members,
+   counts overlaps there, and joins what is similar. Leaders are held against the blocks of their followers.
 3. The matrix holds, for each token of a prefix, the groups that have it in a prefix, with the least
    and greatest size, place and component. A vertex is a query to the groups of other components at its
-   tokens that no size or place rules out; of two groups the larger one is asked. A query comes to a
-   group once, with its whole set. Its overlap with the union of the group bounds that with every member;
-   only groups that qualify are opened, and overlaps with their members are then counted.
+   tokens; of two groups the larger one is asked. The number of these tokens bounds the overlap with every
+   member, and where the group qualifies the query comes to it once, with its whole set. There its overlap with
+   the group's whole union is a closer bound; only groups that qualify are opened, and overlaps with their
+   members are counted.
 
 Every similar pair shares a prefix token. It is in one group and is compared there, or its groups meet at
 that token, or it is in one component already: no link between different components is lost. All
@@ -45,7 +46,10 @@ HOT, GROUP = 1 << 16, 1 << 21
 #: Shingles that are counted at once, and the least count there that is passed on.
 COUNTED, LEAST = 1 << 21, 4
 #: A frequent token's rows are dealt out in so many parts if it has over a SALT_SHARE-th of all rows.
-SALTS, SALT_SHARE = 64, 1000
+SALTS, SALT_SHARE = 64, 20
+#: A vertex goes with a leader that can't be similar, too, if they share over a KIN-th of its size in prefixes: so do many
+#: that are alike but not similar, and few tokens of theirs then lie in several groups.
+KIN = 32
 #: Queries that a group answers at once.
 ASKED = 64
 TOP = np.uint64(1 << 62)
@@ -77,6 +81,12 @@ def _views(column: pa.Array) -> list[np.ndarray]:
     return [flat[i - at[0] : j - at[0]] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
+def enough(n: str, low: str, high: str, c: str) -> str:
+    """Whether a set of n can be similar to one of low to high, of whose prefix it shares c tokens at most in its own.
+    Of the set whose prefix ends first, all other tokens of the prefix are missing from the other set."""
+    return f"(4 * {high} >= 3 * {n} and 4 * {n} >= 3 * {low} and (7 * ({n} - floor((3 * {n} + 3) / 4) + 1 - {c}) <= 4 * {n} - 3 * {low} or 28 * {c} >= 12 * {n} - 9 * {high} + 7))"
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """doc_id, n, v, tokens: a set comes once a task, with its first document."""
     seen: set[int] = set()
@@ -320,16 +330,18 @@ class Matrix:
         return map_arrow(tokens, _shared, "token long, v long, n int, pos int, a long, m int, at int", salted=salted)
 
     def _members(self) -> DataFrame:
-        """v, n, label, g, size: every vertex that shares a token, with its group (a block of those of one label)."""
-        # of all common tokens of v and a: how many, and where the last one stands; what stands before it without being common is missing from the other set
+        """v, n, a, label, g, size: every vertex that shares a token, with its leader and its group (a block of those of one label)."""
+        # c: how many tokens of their prefixes v and a share; pos, at: where the last one stands, what stands before it without being common is missing from the other set
         met = self.shared.groupBy("v", "a").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.first("n").alias("n"), F.first("m").alias("m"))
-        may = "v <> a and 7 * least(n - (pos + 1 - c), m - (at + 1 - c)) >= 3 * (n + m)"
+        may = f"v <> a and (7 * least(n - (pos + 1 - c), m - (at + 1 - c)) >= 3 * (n + m) and {enough('n', 'm', 'm', 'c')} or {KIN} * c > n)"
         best = met.groupBy("v").agg(F.first("n").alias("n"), F.max(F.when(F.expr(may), F.struct("c", F.bitwise_not("a").alias("a")))).alias("best"))
-        members = stage(best.select("v", "n", F.coalesce(F.bitwise_not("best.a"), "v").alias("label")), "jaccard")
+        best = stage(best.select("v", "n", F.bitwise_not("best.a").alias("a")), "jaccard")
+        trees = components(best.where("a is not null"), "v", "a").withColumnRenamed("id", "v")
+        members = stage(best.join(trees, "v", "left").select("v", "n", F.coalesce("component", "v").alias("label"), "a"), "jaccard")
         sizes = members.groupBy("label").agg(F.sum("n").alias("tokens"), F.count("*").alias("size")).withColumn("__n", F.col("size"))
         members = join_on_hot(members, stage(sizes, "jaccard"), ["label"], "__n", "inner")
         block = F.pmod(F.xxhash64("v"), F.ceil(F.col("tokens") / GROUP))
-        return members.select("v", "n", "label", F.xxhash64("label", block).alias("g"), "size")
+        return members.select("v", "n", "a", "label", F.xxhash64("label", block).alias("g"), "size")
 
     def _open(self, rows: DataFrame, f, schema: str) -> DataFrame:
         """f over groups: rows (h, query, v, c) with the sets."""
@@ -339,8 +351,8 @@ class Matrix:
     def inside(self) -> tuple[DataFrame, DataFrame]:
         """(v, c): the components within groups; (a, b): links between these components, through the leaders."""
         several = self.members.where("size > 1")
-        blocks = several.select("label", "g").distinct()
-        asking = blocks.select(F.col("g").alias("h"), F.lit(True).alias("query"), F.col("label").alias("v"))
+        asking = several.where("a is not null").select(F.col("g").alias("h"), F.lit(True).alias("query"), F.col("a").alias("v")).distinct()
+        asking = asking.join(several.select(F.col("g").alias("h"), "v"), ["h", "v"], "left_anti").select("h", "query", "v")  # it is in that block itself
         rows = several.select(F.col("g").alias("h"), F.lit(False).alias("query"), "v").union(asking).withColumn("c", F.col("v"))
         found = stage(self._open(stage(rows, "jaccard"), _inside, "v long, c long, link boolean"), "jaccard")
         own = found.where("not link").select("v", "c")
@@ -354,9 +366,11 @@ class Matrix:
         groups = stage(groups, "jaccard")
         mixed = groups.groupBy("token").agg(F.count("*").alias("groups"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("groups > 1 and c0 <> c1").select("token")
         groups = stage(groups.join(mixed, "token", "left_semi").withColumnRenamed("g", "h"), "jaccard")
-        met = at.join(groups, "token").where("(k > size or k = size and h > g) and (c0 <> c or c1 <> c)")
-        met = met.where("4 * n - 7 * pos >= 3 * low and 4 * high - 7 * least >= 3 * n").select("h", "v", "c").distinct()
-        met = stage(met, "jaccard")
+        met = at.join(groups, "token").where("(k > size or k = size and h > g) and (c0 <> c or c1 <> c) and 4 * high >= 3 * n and 4 * n >= 3 * low")
+        # the first of the common tokens must leave enough behind it, and there must be enough of them
+        first = F.expr("4 * n - 7 * pos >= 3 * low and 4 * high - 7 * least >= 3 * n")
+        met = met.groupBy("h", "v").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.count("*").alias("common"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(first).alias("first"))
+        met = stage(met.where(f"first and {enough('n', 'low', 'high', 'common')}").select("h", "v", "c"), "jaccard")
         holding = placed.select(F.col("g").alias("h"), "v", "c").join(met.select("h").distinct(), "h", "left_semi")
         rows = stage(holding.select("h", F.lit(False).alias("query"), "v", "c").unionByName(met.select("h", F.lit(True).alias("query"), "v", "c")), "jaccard")
         links = stage(self._open(rows, _across, "a long, b long").distinct(), "jaccard")
