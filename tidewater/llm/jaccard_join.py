@@ -42,14 +42,14 @@ from tidewater.llm.common import UnionFind, WordHashes, components, drop, join_c
 
 K = 5
 #: Most frequent shingles that stand last in the order, and tokens in a block of a group.
-HOT, GROUP = 1 << 16, 1 << 21
+HOT, GROUP = 1 << 18, 1 << 21
 #: Shingles that are counted at once, and the least count there that is passed on.
 COUNTED, LEAST = 1 << 21, 4
 #: A frequent token's rows are dealt out in so many parts if it has over a SALT_SHARE-th of all rows.
 SALTS, SALT_SHARE = 64, 20
 #: A vertex goes with a leader that can't be similar, too, if they share over a KIN-th of its size in prefixes: so do many
 #: that are alike but not similar, and few tokens of theirs then lie in several groups.
-KIN = 32
+KIN = 16
 #: Queries that a group answers at once.
 ASKED = 64
 TOP = np.uint64(1 << 62)
@@ -318,12 +318,20 @@ class Matrix:
 
     def _shared(self) -> DataFrame:
         counts = map_arrow(self.sets.select("tokens"), _frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        top = counts.orderBy(F.desc("n"), "token").limit(HOT).collect()  # at most HOT rows
-        hot = np.array([r["token"] for r in top], np.int64).view(np.uint64)
-        rank = np.arange(len(hot), 0, -1).astype(np.uint64)  # the most frequent last
+        counts = stage(counts, "jaccard")
+        # the least count of which at most HOT tokens have as much; counts in steps of an eighth of a power of two
+        step, least, held = F.floor(8 * F.log2("n")), 0, 0
+        for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("tokens"), F.min("n").alias("least")).collect(), key=lambda r: -r["step"]):
+            if held + r["tokens"] > HOT:
+                break
+            held, least = held + r["tokens"], r["least"]
+        frequent = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("token", "ascending")]) if held else None  # at most HOT rows
+        hot, n = (frequent[c].to_numpy() if held else np.zeros(0, np.int64) for c in ("token", "n"))
+        drop(counts)
+        hot, rank = hot.view(np.uint64), np.arange(len(hot), 0, -1).astype(np.uint64)  # the most frequent last
         by = np.argsort(hot)
         bar = max(self.rows.count() // SALT_SHARE, 1)
-        salted = int(TOP) + len(hot) + 1 - sum(r["n"] > bar for r in top)
+        salted = int(TOP) + len(hot) + 1 - int((n > bar).sum())
         tokens = map_arrow(self.sets, _prefixes, "token long, v long, n int, pos int", hot=hot[by], rank=rank[by])
         tokens = tokens.withColumn("salt", F.when(F.col("token") >= salted, F.pmod("v", F.lit(SALTS))).otherwise(0).cast("int"))
         tokens = tokens.repartition(self.parts, "token", "salt").sortWithinPartitions("token", "salt", "v")
