@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -182,3 +183,37 @@ def test_sql(spark, sf):
     duck = connect(sf)
     for name, sql in queries.SQL.items():
         assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(duck.sql(sql).df()), name
+
+
+def test_mix_of_repeated_rows(make):
+    """Each row is taken by its own plan: the mix holds as many words as the plan takes."""
+    rows = [*[(None, "five words are in this", "a")] * 5, (1, "some more words of this source to mix", "a"), (2, "b has a longer text of its own, with more words than the other one has", "b"), *ODD]
+    plan = sum(r["taken"] for r in mixing.mixture(make(rows)).collect())
+    assert sum(len((r["text"] or "").encode().split()) for r in mixing.mixed(make(rows)).collect()) == plan
+
+
+def test_shards_whatever_the_split(make):
+    rows = [(i, f"copy of {i % 60}", "a") for i in range(300)] + [(1000 + i, f"alone {i}", "a") for i in range(300)] + ODD
+    got = [sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shards(make(rows, parts), 7).collect()), key=str) for parts in (1, 7)]
+    sizes = sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows), key=str)
+    assert got[0] == got[1] and sorted((x[:3] for x in got[0]), key=str) == sizes
+
+
+def test_inclusion_follows_the_noise(make, spark):
+    """Documents near the boundary are drawn by some seeds and not by others, as often as Gumbel noise says; of
+    each draw the rows with the k highest keys are kept."""
+    good = [(i, "calm sober words about rivers and hills " * 3, "a") for i in range(40)]
+    bad = [(100 + i, "win cash now click here fast " * 3, "a") for i in range(40)]
+    near = [(200 + i, "calm sober words win cash now", "a") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0, "") for i, *_ in good[:30]] + [(i, 0, 0, "") for i, *_ in bad[:30]], LABELS)
+    shares, weights = [], {}
+    for seed in range(6):
+        got = resampling.importance(make([*good, *bad, *near]), labels, seed=seed).collect()
+        keys = sorted((r["key"] for r in got if r["key"] is not None), reverse=True)
+        kept = [r["key"] for r in got if r["kept"]]
+        assert sorted(kept, reverse=True) == keys[: len(kept)]
+        noise = [r["key"] - r["log_weight"] for r in got if r["key"] is not None]
+        assert -3 < min(noise) < 0 < max(noise) and abs(float(np.mean(noise)) - 0.5772) < 0.5  # Gumbel's mean
+        shares.append({r["doc_id"] for r in got if r["kept"] and r["doc_id"] >= 200})
+        weights |= {r["doc_id"]: r["log_weight"] for r in got}
+    assert len({frozenset(x) for x in shares}) > 1 or not any(abs(w) < 1 for w in weights.values())

@@ -20,6 +20,7 @@ from tidewater.cluster import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,7 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
+    _staged.append(path)
     return out
 
 
@@ -57,6 +59,19 @@ def drop(*staged: DataFrame) -> None:
     for df in staged:
         if path := getattr(df, "_staged", None):
             delete(df.sparkSession, path)
+            _staged.remove(path)
+
+
+def clear(spark: SparkSession, first: int = 0) -> None:
+    """Delete all that was staged, from the first-th on: for callers whose results are written."""
+    for path in _staged[first:]:
+        delete(spark, path)
+    del _staged[first:]
+
+
+def staged() -> int:
+    """How many tables are staged now."""
+    return len(_staged)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ documents stand in a seeded random order, and are taken from the front until the
 most one document a source, where the sample ends, is taken in part.
 
 Null texts have no words. A null source is a source of its own and comes last. Repeated rows count
-once each. An empty table has no rows; a source without words has the target 0.
+once each, also in the mix. An empty table has no rows; a source without words has the target 0.
 """
 
 from __future__ import annotations
@@ -37,11 +37,14 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
         level = now
 
 
-def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED) -> DataFrame:
+def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, whole (full repetitions), taken (words in all). The
-    weights go to the sources in their order, and start again after the last."""
+    weights go to the sources in their order, and start again after the last. A column `row` that tells rows apart
+    is passed on, if named."""
+    own = [row] if row else []
     # source as (is null, value): null-safe, and null comes last
     light = docs.select(
+        *own,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").isNull().alias("none"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
@@ -65,23 +68,22 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
     rows = join_on_hot(light, sources, ["none", "source"], "docs", "inner")
     rest = rows.where("bucket <> cut").withColumn("part", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(0))
-    inside = Window.partitionBy("none", "source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("none", "source").orderBy("order", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where("bucket = cut").withColumn("part", F.greatest(F.least(F.col("extra") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0)), F.col("size")), F.lit(0)))
     out = rest.unionByName(edge)
-    return out.select("doc_id", F.when(~F.col("none"), F.col("source")).alias("source"), "size", "source_size", "target", "whole", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+    return out.select(*own, "doc_id", F.when(~F.col("none"), F.col("source")).alias("source"), "size", "source_size", "target", "whole", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken. A document that is taken in part
-    comes with its first words."""
-    got = mixture(docs, **kw).groupBy("doc_id", "source", "size").agg(F.max("whole").alias("__whole"), F.max(F.col("taken") - F.col("whole") * F.col("size")).alias("__part"))
-    got = got.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__whole", "__part")
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.join(got, docs["doc_id"].eqNullSafe(got["__id"]) & docs["source"].cast("string").eqNullSafe(got["__source"]) & (size == got["__size"]))
+    comes with its first words. Rows are numbered first, so that repeated rows are taken each by its own plan."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "mix")
+    plan = mixture(rows, row="__row", **kw).select("__row", F.col("size").alias("__size"), F.col("whole").alias("__whole"), (F.col("taken") - F.col("whole") * F.col("size")).alias("__part"))
+    rows = rows.join(plan, "__row")
     whole = F.when(F.col("__part") >= F.col("__size"), F.lit(1)).otherwise(0) + F.col("__whole")
     copies = F.when(whole > 0, F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))).otherwise(F.array().cast("array<long>"))
     part = F.when((F.col("__part") > 0) & (F.col("__part") < F.col("__size")), F.array(F.col("__part"))).otherwise(F.array().cast("array<long>"))
     rows = rows.withColumn("__cut", F.explode(F.concat(copies, part)))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__cut"), F.lit(0)).cast("int")), "")
-    return rows.select(*[F.when(F.col("__cut") < 0, F.col("text")).otherwise(head).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return rows.select(*[F.when(F.col("__cut") < 0, F.col("text")).otherwise(head).alias("text") if c == "text" else c for c in docs.columns])

@@ -29,7 +29,7 @@ from tidewater.llm.common import id_and_text, map_arrow, mix, slices, stage
 BITS = 16
 #: Labelled documents that the target model and the tilt are fitted on.
 SAMPLE = 20_000
-TEMPERATURE = 0.1
+TEMPERATURE = 1.0
 SEED = 29
 REPEAT = 1
 _tokens = re.compile(r"\w+|[^\w\s]+").findall

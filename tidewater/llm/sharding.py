@@ -12,7 +12,8 @@ those beyond the shard's quota, which are unlinked wherever possible, fill up th
 then differ by one at most, and slots are gapless.
 
 Null texts have size 16, checksum 0 and are linked as empty ones are. Repeated rows are documents of
-their own. An empty table gives no rows.
+their own. Placement depends on ids and texts only, not on how the table is split; rows that agree in both are
+interchangeable. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,9 +83,10 @@ def shards(docs: DataFrame, n_shards: int = 40, rounds: int = ROUNDS, seed: int
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("key"),
-        F.monotonically_increasing_id().alias("rid"),
     )
-    light = stage(light, "shard")
+    # rows that agree in all of this are interchangeable: counted and numbered, whatever task they came from
+    light = light.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("times")).withColumn("nth", F.explode(F.expr("sequence(1, times)")))
+    light = stage(light.select("doc_id", "size", "text_crc32", "key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "key", "nth").alias("rid")), "shard")
     several = light.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").withColumn("__n", F.col("copies"))
     light = stage(join_on_hot(light, several, ["key"], "__n").drop("__n"), "shard")
     total = light.count()
@@ -98,7 +100,7 @@ def shards(docs: DataFrame, n_shards: int = 40, rounds: int = ROUNDS, seed: int
     parts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))  # n_shards * 2 * PARTS rows at most
     start = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = F.broadcast(parts.select("shard", "part", F.coalesce(start, F.lit(0)).alias("start")))
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("rid")) - 1
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("rid", "doc_id", "key")) - 1
     placed = placed.withColumn("place", place).join(parts, ["shard", "part"]).withColumn("place", F.col("start") + F.col("place"))
     have = {r["shard"]: r["n"] for r in light_counts(placed)}
     have = [have.get(s, 0) for s in range(n_shards)]
