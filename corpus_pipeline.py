@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import exact_dedup, jaccard_join, mixing, pieces, resampling
-from tidewater.llm.common import shared_dir, table
+from tidewater.llm.common import clear, delete, shared_dir, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. Once a stage is written, what it has staged and its predecessor's output go."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, f in STAGES:
         out = f"{shared_dir(spark)}/tidewater/pipeline-{hashlib.sha256(name.encode()).hexdigest()[:8]}-{uuid.uuid4().hex}"
+        first = staged()
         f(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        clear(spark, first)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
