@@ -177,3 +177,23 @@ def test_global_rank_and_hot_join(spark):
     out = common.join_on_hot(left, groups, ["k"], "n", "left", most=2)
     assert out.count() == 1000 and out.where("n is null").count() == 50 and out.where("n = 900").count() == 900
     assert common.join_on_hot(left, groups, ["k"], "n", "inner", most=2).count() == 950
+
+
+def test_index_of_the_query(spark, sf):
+    """With the query's own parameters buckets split, each has one owner file, and every key is where the directory says."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    light, entries = exact_dedup.index(docs)
+    rows = entries.withColumn("file", F.input_file_name()).collect()
+    assert len({r["bucket"] for r in rows}) > 8 and len({r["local_depth"] for r in rows}) > 1
+    owner = defaultdict(set)
+    for r in rows:
+        owner[r["bucket"]].add(r["file"])
+        assert (r["key"] % (1 << 64)) >> (64 - r["local_depth"]) == r["bucket"] >> (exact_dedup.DEPTH - r["local_depth"])
+    assert all(len(x) == 1 for x in owner.values()) and len(set.union(*owner.values())) > 1
+    assert {(r["bucket"], r["key"], r["text_sha256"]) for r in light.collect()} == {(r["bucket"], r["key"], r["text_sha256"]) for r in rows}
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    """More edges than one task may join: the rounds give the same."""
+    monkeypatch.setattr(common, "ONE_TASK", 0)
+    test_components(spark)
