@@ -11,24 +11,24 @@ def values(df):
 
 
 def test_select(shop):
-    assert values(shop.sql("SELECT name FROM users WHERE age >= 18")) == ["Alice"]
-    assert values(shop.sql("SELECT u.name, o.total FROM users u JOIN orders o ON u.id = o.user_id ORDER BY o.total")) == [("Alice", 5.0), ("Alice", 10.0), ("Bob", 20.0)]
-    assert values(shop.sql("SELECT user_id, COUNT(*) AS n, SUM(total) AS s FROM orders GROUP BY user_id ORDER BY user_id")) == [(1, 2, 15.0), (2, 1, 20.0)]
-    assert values(shop.sql("SELECT user_id FROM orders GROUP BY user_id HAVING SUM(total) > 15")) == [2]
-    assert values(shop.sql("SELECT id FROM orders ORDER BY id LIMIT 1 OFFSET 1")) == [101]
-    assert values(shop.sql("SELECT DISTINCT user_id FROM orders ORDER BY user_id DESC")) == [2, 1]
+    assert values(shop.sql("SELECT name FROM growers WHERE age >= 18")) == ["Nadia"]
+    assert values(shop.sql("SELECT g.name, c.kilos FROM growers g JOIN crates c ON g.id = c.grower ORDER BY c.kilos")) == [("Nadia", 3.5), ("Nadia", 8.0), ("Piet", 21.0)]
+    assert values(shop.sql("SELECT grower, COUNT(*) AS n, SUM(kilos) AS s FROM crates GROUP BY grower ORDER BY grower")) == [(1, 2, 11.5), (2, 1, 21.0)]
+    assert values(shop.sql("SELECT grower FROM crates GROUP BY grower HAVING SUM(kilos) > 15")) == [2]
+    assert values(shop.sql("SELECT id FROM crates ORDER BY id LIMIT 1 OFFSET 1")) == [32]
+    assert values(shop.sql("SELECT DISTINCT grower FROM crates ORDER BY grower DESC")) == [2, 1]
 
 
 def test_unsupported_fails(shop):
-    for sql in ("DROP TABLE users", "MERGE INTO users USING orders ON true", "BEGIN", ""):
+    for sql in ("DROP TABLE growers", "MERGE INTO growers USING crates ON true", "BEGIN", ""):
         with pytest.raises(ParseError):
             shop.sql(sql)
     with pytest.raises(BindingError):
-        shop.sql("SELECT nothing FROM users")
+        shop.sql("SELECT nothing FROM growers")
     with pytest.raises(BindingError):
         shop.sql("SELECT * FROM nowhere")
     with pytest.raises(TypeMismatchError):
-        shop.sql("SELECT * FROM users WHERE age = 'thirty'")
+        shop.sql("SELECT * FROM growers WHERE age = 'thirty'")
     with pytest.raises(ParseError):
         shop.sql("SELECT 1; SELECT 2")
 
@@ -42,20 +42,20 @@ def test_nulls(engine):
 
 
 def test_insert(shop):
-    assert values(shop.sql("INSERT INTO users (id, name) VALUES (3, 'Cy')")) == [1]
-    assert values(shop.sql("SELECT age FROM users WHERE id = 3")) == [None]
-    shop.sql("INSERT INTO users VALUES (3, 'Di', 4)")
-    assert values(shop.sql("SELECT name, age FROM users WHERE id = 3")) == [("Di", 4)]
-    assert values(shop.sql("INSERT INTO users SELECT id, 'x', user_id FROM orders")) == [3]
+    assert values(shop.sql("INSERT INTO growers (id, name) VALUES (3, 'Cy')")) == [1]
+    assert values(shop.sql("SELECT age FROM growers WHERE id = 3")) == [None]
+    shop.sql("INSERT INTO growers VALUES (3, 'Di', 4)")
+    assert values(shop.sql("SELECT name, age FROM growers WHERE id = 3")) == [("Di", 4)]
+    assert values(shop.sql("INSERT INTO growers SELECT id, 'x', grower FROM crates")) == [3]
     for sql, error in (
-        ("INSERT INTO users VALUES (4, 'x')", BindingError),
-        ("INSERT INTO users VALUES ('a', 'x', 1)", TypeMismatchError),
-        ("INSERT INTO users VALUES (9, NULL, 1)", ConstraintError),
-        ("INSERT INTO users (id, nope) VALUES (1, 2)", BindingError),
+        ("INSERT INTO growers VALUES (4, 'x')", BindingError),
+        ("INSERT INTO growers VALUES ('a', 'x', 1)", TypeMismatchError),
+        ("INSERT INTO growers VALUES (9, NULL, 1)", ConstraintError),
+        ("INSERT INTO growers (id, nope) VALUES (1, 2)", BindingError),
     ):
         with pytest.raises(error):
             shop.sql(sql)
-    assert shop.table("users").count() == 6
+    assert shop.table("growers").count() == 6
 
 
 def test_apostrophes(engine):
@@ -66,23 +66,23 @@ def test_apostrophes(engine):
 
 
 def test_update(shop):
-    assert values(shop.sql("UPDATE orders SET total = total * 2 WHERE user_id = 1")) == [2]
-    assert values(shop.sql("SELECT total FROM orders ORDER BY id")) == [20.0, 10.0, 20.0]
-    shop.sql("UPDATE users SET age = age / 7")
-    assert values(shop.sql("SELECT age FROM users ORDER BY id")) == [4, 2]
-    shop.sql("UPDATE users SET age = age / 0, name = name + '!' WHERE id = 1")
-    assert values(shop.sql("SELECT name, age FROM users WHERE id = 1")) == [("Alice!", None)]
-    for sql, error in (("UPDATE users SET id = 3", ConstraintError), ("UPDATE users SET age = name + 1", TypeMismatchError), ("UPDATE users SET nope = 1", BindingError)):
+    assert values(shop.sql("UPDATE crates SET kilos = kilos * 2 WHERE grower = 1")) == [2]
+    assert values(shop.sql("SELECT kilos FROM crates ORDER BY id")) == [16.0, 7.0, 21.0]
+    shop.sql("UPDATE growers SET age = age / 7")
+    assert values(shop.sql("SELECT age FROM growers ORDER BY id")) == [5, 2]
+    shop.sql("UPDATE growers SET age = age / 0, name = name + '!' WHERE id = 1")
+    assert values(shop.sql("SELECT name, age FROM growers WHERE id = 1")) == [("Nadia!", None)]
+    for sql, error in (("UPDATE growers SET id = 3", ConstraintError), ("UPDATE growers SET age = name + 1", TypeMismatchError), ("UPDATE growers SET nope = 1", BindingError)):
         with pytest.raises(error):
             shop.sql(sql)
 
 
 def test_delete(shop):
-    assert values(shop.sql("DELETE FROM orders WHERE total < 15")) == [2]
-    assert values(shop.sql("SELECT id FROM orders")) == [102]
-    assert values(shop.sql("DELETE FROM orders")) == [1]
-    shop.sql("INSERT INTO orders VALUES (102, 7, 1.0)")
-    assert values(shop.sql("SELECT user_id FROM orders")) == [7]
+    assert values(shop.sql("DELETE FROM crates WHERE kilos < 15")) == [2]
+    assert values(shop.sql("SELECT id FROM crates")) == [33]
+    assert values(shop.sql("DELETE FROM crates")) == [1]
+    shop.sql("INSERT INTO crates VALUES (33, 7, 1.0)")
+    assert values(shop.sql("SELECT grower FROM crates")) == [7]
 
 
 def test_vectors(engine):
@@ -100,17 +100,17 @@ def test_vectors(engine):
 
 
 def test_prepared(shop):
-    s = shop.prepare("SELECT name FROM users WHERE age > ? AND name <> '?'")
-    assert values(shop.execute(s, [20])) == ["Alice"] and values(shop.execute(s, [40])) == []
-    assert values(shop.execute(shop.prepare("SELECT id FROM orders WHERE user_id = $2 AND total > $1 ORDER BY id"), [6.0, 1])) == [100]
-    assert values(shop.execute(shop.prepare("UPDATE users SET age = ? WHERE id = ?"), [99, 2])) == [1]
+    s = shop.prepare("SELECT name FROM growers WHERE age > ? AND name <> '?'")
+    assert values(shop.execute(s, [20])) == ["Nadia"] and values(shop.execute(s, [40])) == []
+    assert values(shop.execute(shop.prepare("SELECT id FROM crates WHERE grower = $2 AND kilos > $1 ORDER BY id"), [6.0, 1])) == [31]
+    assert values(shop.execute(shop.prepare("UPDATE growers SET age = ? WHERE id = ?"), [99, 2])) == [1]
     for bad in ([], [1, 2]):
         with pytest.raises(BindingError):
             shop.execute(s, bad)
     with pytest.raises(BindingError):
-        shop.prepare("SELECT * FROM users WHERE id = ? OR id = $1")
+        shop.prepare("SELECT * FROM growers WHERE id = ? OR id = $1")
     with pytest.raises(BindingError):
-        shop.sql("SELECT * FROM users WHERE id = ?")
+        shop.sql("SELECT * FROM growers WHERE id = ?")
     with pytest.raises(ParseError):
         shop.prepare("CREATE TABLE x (id INT)")
 
@@ -118,21 +118,21 @@ def test_prepared(shop):
 def test_snapshots_and_transactions(shop):
     before = shop.database.latest()
     with shop.transaction() as t:
-        t.sql("DELETE FROM orders WHERE id = 100")
-        t.sql("UPDATE users SET age = 1")
-        assert shop.table("orders").count() == 3
-    assert shop.table("orders").count() == 2 and shop.table("orders", before).count() == 3
+        t.sql("DELETE FROM crates WHERE id = 31")
+        t.sql("UPDATE growers SET age = 1")
+        assert shop.table("crates").count() == 3
+    assert shop.table("crates").count() == 2 and shop.table("crates", before).count() == 3
     with pytest.raises(BindingError), shop.transaction() as t:
-        t.sql("DELETE FROM orders")
+        t.sql("DELETE FROM crates")
         t.sql("DELETE FROM nowhere")
-    assert shop.table("orders").count() == 2
+    assert shop.table("crates").count() == 2
 
 
 def test_first_committer_wins(shop):
     with pytest.raises(ConflictError), shop.transaction() as t:
-        t.sql("UPDATE users SET age = 50 WHERE id = 1")
-        shop.sql("UPDATE users SET age = 60 WHERE id = 1")
-    assert values(shop.sql("SELECT age FROM users WHERE id = 1")) == [60]
+        t.sql("UPDATE growers SET age = 50 WHERE id = 1")
+        shop.sql("UPDATE growers SET age = 60 WHERE id = 1")
+    assert values(shop.sql("SELECT age FROM growers WHERE id = 1")) == [60]
 
 
 def test_no_lost_updates(engine):
@@ -164,12 +164,12 @@ def test_reopen_and_orphans(spark, tmp_path):
 
 def test_create(shop):
     with pytest.raises(BindingError):
-        shop.sql("CREATE TABLE users (id INT PRIMARY KEY)")
-    shop.sql("CREATE TABLE IF NOT EXISTS users (id INT PRIMARY KEY)")
-    shop.sql("CREATE TABLE big AS SELECT * FROM orders WHERE total > 6")
+        shop.sql("CREATE TABLE growers (id INT PRIMARY KEY)")
+    shop.sql("CREATE TABLE IF NOT EXISTS growers (id INT PRIMARY KEY)")
+    shop.sql("CREATE TABLE big AS SELECT * FROM crates WHERE kilos > 6")
     assert shop.table("big").count() == 2
-    assert shop.tables() == ["big", "orders", "users"]
-    kinds = {r["column"]: r["type"] for r in shop.sql("DESCRIBE users").collect()}
+    assert shop.tables() == ["big", "crates", "growers"]
+    kinds = {r["column"]: r["type"] for r in shop.sql("DESCRIBE growers").collect()}
     assert kinds == {"id": "bigint", "name": "string", "age": "bigint"}
 
 
@@ -187,7 +187,47 @@ def test_estimates(engine, spark):
 
 def test_compaction_policy(shop):
     for i in range(12):
-        shop.sql(f"UPDATE users SET age = {i} WHERE id = 1")
-    before = values(shop.sql("SELECT * FROM users ORDER BY id"))
-    assert shop.database.maybe_compact("users")
-    assert values(shop.sql("SELECT * FROM users ORDER BY id")) == before and shop.database.dead_versions("users") == 0
+        shop.sql(f"UPDATE growers SET age = {i} WHERE id = 1")
+    before = values(shop.sql("SELECT * FROM growers ORDER BY id"))
+    assert shop.database.maybe_compact("growers")
+    assert values(shop.sql("SELECT * FROM growers ORDER BY id")) == before and shop.database.dead_versions("growers") == 0
+
+
+def test_transaction_reads_its_own_writes(shop):
+    with shop.transaction() as t:
+        t.sql("UPDATE crates SET kilos = 10.0 WHERE id = 31")
+        t.sql("UPDATE crates SET kilos = kilos + 1 WHERE id = 31")
+        assert values(t.read("SELECT kilos FROM crates WHERE id = 31")) == [11.0]
+        t.sql("INSERT INTO crates VALUES (40, 1, 1.0), (41, 1, 2.0)")
+        assert t.sql("DELETE FROM crates WHERE id >= 41") == 1
+        assert values(shop.sql("SELECT kilos FROM crates WHERE id = 31")) == [8.0]
+    assert values(shop.sql("SELECT id, kilos FROM crates ORDER BY id")) == [(31, 11.0), (32, 3.5), (33, 21.0), (40, 1.0)]
+
+
+def test_conditions_on_the_key_reach_the_scan(shop):
+    shop.sql("UPDATE crates SET kilos = 1 WHERE id = 32")
+    plan = shop.sql("SELECT kilos FROM crates WHERE id = 32")
+    assert "EqualTo(id,32)" in plan._jdf.queryExecution().executedPlan().toString() and values(plan) == [1.0]
+
+
+def test_large_commits_conflict_by_their_rows(shop, monkeypatch):
+    """Where keys aren't listed, the files tell whether two commits have changed the same rows."""
+    from tidewater.sources import database
+
+    monkeypatch.setattr(database, "LISTED_KEYS", 0)
+    with shop.transaction() as t:
+        t.sql("UPDATE crates SET kilos = 50 WHERE id <> 32")
+        shop.sql("UPDATE crates SET kilos = 60 WHERE id = 32")
+    assert values(shop.sql("SELECT kilos FROM crates ORDER BY id")) == [50.0, 60.0, 50.0]
+    with pytest.raises(ConflictError), shop.transaction() as t:
+        t.sql("UPDATE crates SET kilos = 1 WHERE id <> 32")
+        shop.sql("UPDATE crates SET kilos = 2 WHERE id = 33")
+
+
+def test_vacuum_with_a_horizon(shop):
+    before = shop.database.latest()
+    shop.sql("UPDATE growers SET age = 1")
+    shop.database.compact("growers")
+    assert shop.database.vacuum(before) == 0 and shop.table("growers", before).count() == 2
+    assert shop.database.vacuum(shop.database.latest()) == 2
+    assert values(shop.sql("SELECT age FROM growers")) == [1, 1]

@@ -151,16 +151,16 @@ def test_streams(spark, engine, tmp_path):
 
 
 def test_command_line(shop, capsys):
-    assert "Alice" in cli.run(shop, "SELECT * FROM users") and cli.run(shop, "DELETE FROM users") == "2 rows affected"
-    assert "orders" in cli.command(shop, "\\dt") and "user_id" in cli.command(shop, "\\d orders") and cli.command(shop, "\\q") is None
+    assert "Nadia" in cli.run(shop, "SELECT * FROM growers") and cli.run(shop, "DELETE FROM growers") == "2 rows affected"
+    assert "crates" in cli.command(shop, "\\dt") and "grower" in cli.command(shop, "\\d crates") and cli.command(shop, "\\q") is None
     assert "NULL" in cli.run(shop, "SELECT NULL AS x") and "tables" in cli.command(shop, "\\?")
 
 
 def test_assistant(shop):
-    a = Assistant(shop, lambda prompt: "Sure:\n```sql\nSELECT count(*) AS n FROM users\n```")
-    assert a.reply("how many users?")["rows"] == [[2]]
-    assert "error" in Assistant(shop, lambda p: "```sql\nDELETE FROM users\n```").reply("x")
-    assert shop.table("users").count() == 2 and "users(" in a.reply("tables")["text"] and "No language model" in Assistant(shop).reply("hi")["text"]
+    a = Assistant(shop, lambda prompt: "Sure:\n```sql\nSELECT count(*) AS n FROM growers\n```")
+    assert a.reply("how many growers?")["rows"] == [[2]]
+    assert "error" in Assistant(shop, lambda p: "```sql\nDELETE FROM growers\n```").reply("x")
+    assert shop.table("growers").count() == 2 and "growers(" in a.reply("tables")["text"] and "No language model" in Assistant(shop).reply("hi")["text"]
 
 
 def test_server(shop):
@@ -170,8 +170,8 @@ def test_server(shop):
     try:
         assert json.load(urllib.request.urlopen(f"{base}/health", timeout=30)) == {"status": "ok"}
         assert len(json.load(urllib.request.urlopen(f"{base}/api/tables", timeout=30))) == 2
-        ask = urllib.request.Request(f"{base}/api/query", json.dumps({"sql": "SELECT name FROM users ORDER BY id"}).encode())
-        assert json.load(urllib.request.urlopen(ask, timeout=60))["rows"] == [["Alice"], ["Bob"]]
+        ask = urllib.request.Request(f"{base}/api/query", json.dumps({"sql": "SELECT name FROM growers ORDER BY id"}).encode())
+        assert json.load(urllib.request.urlopen(ask, timeout=60))["rows"] == [["Nadia"], ["Piet"]]
         with pytest.raises(urllib.error.HTTPError):
             urllib.request.urlopen(urllib.request.Request(f"{base}/api/query", b'{"sql": "DROP TABLE x"}'), timeout=60)
     finally:

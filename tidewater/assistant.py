@@ -40,6 +40,8 @@ class Assistant:
             if len(several) != 1 or significant(several[0])[0].word not in ("SELECT", "WITH"):
                 return {"text": text, "error": "only a single SELECT is run"}
             df = self.engine.sql(several[0])
-            return {"text": text, "sql": several[0], "columns": df.columns, "rows": [list(r) for r in df.limit(MOST_ROWS).collect()]}
+            rows = [list(r) for r in df.limit(MOST_ROWS + 1).collect()]
+            more = {"truncated": f"only the first {MOST_ROWS} rows are shown"} if len(rows) > MOST_ROWS else {}
+            return {"text": text, "sql": several[0], "columns": df.columns, "rows": rows[:MOST_ROWS]} | more
         except EngineError as e:
             return {"text": text, "sql": sql, "error": str(e)}

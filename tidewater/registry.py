@@ -258,6 +258,17 @@ def dml_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.table("o")
 
 
+def dml_transaction_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of a transaction see the changes before them; of a row's changes the last one counts."""
+    e = _orders_engine(spark, sf_dir)
+    with e.transaction() as t:
+        t.sql("UPDATE o SET price = 10.0 WHERE k < 1000")
+        t.sql("UPDATE o SET price = price + 1 WHERE price < 11")
+        t.sql("INSERT INTO o VALUES (-1, 1, 1.5, 'N'), (-2, 1, 2.5, 'N')")
+        t.sql("DELETE FROM o WHERE k = -1 OR status = 'P'")
+    return e.table("o")
+
+
 def prepared_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _orders_engine(spark, sf_dir)
     return e.execute(e.prepare("SELECT k, price FROM o WHERE cust = $1 OR price > $2"), [7, 290000.0])
@@ -334,6 +345,8 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "dml_delete": (_after("DELETE FROM o WHERE price > 150000 OR cust = 3"), f"SELECT * FROM ({ORDERS}) t WHERE NOT (price > 150000 OR cust = 3)"),
     "dml_snapshot_as_of": (dml_snapshot_as_of, ORDERS),
     "dml_compaction_noop": (dml_compaction_noop, f"SELECT k, cust, price, CASE WHEN price > 200000 THEN 'X' ELSE status END AS status FROM ({ORDERS}) t"),
+    "dml_transaction_rewrite": (dml_transaction_rewrite, f"SELECT * FROM (SELECT k, cust, CASE WHEN k < 1000 THEN 11.0 WHEN price < 11 THEN price + 1 ELSE price END AS price, status FROM ({ORDERS}) t) u WHERE status <> 'P' UNION ALL SELECT -2, 1, 3.5, 'N'"),
+    "dml_point_update": (_after("UPDATE o SET price = 0.5 WHERE k = 7", "DELETE FROM o WHERE k = 3"), f"SELECT k, cust, CASE WHEN k = 7 THEN 0.5 ELSE price END AS price, status FROM ({ORDERS}) t WHERE k <> 3"),
     "dml_transaction": (dml_transaction, f"SELECT * FROM ({ORDERS}) t WHERE status <> 'F' UNION ALL SELECT -1, 1, 1.5, 'N'"),
     "prepared_select": (prepared_select, f"SELECT k, price FROM ({ORDERS}) t WHERE cust = 7 OR price > 290000"),
     "rmi_fit": (rmi_fit, "SELECT round(regr_slope(p, k), 6) AS slope, round(regr_intercept(p, k), 3) AS intercept FROM (SELECT CAST(o_orderkey AS DOUBLE) AS k, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS DOUBLE) AS p FROM orders) t"),

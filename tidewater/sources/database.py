@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +21,12 @@ from tidewater.sources.catalog import TableSchema
 from tidewater.sources.files import Store
 from tidewater.sources.retention import RetentionModel
 
-#: Keys that a commit lists one by one, to tell conflicts; of more it keeps the range.
+#: Keys that a commit lists one by one, to tell conflicts; of more it keeps the range, and where ranges meet, the keys in
+#: the files are compared.
 LISTED_KEYS = 1000
 RETRIES = 50
+#: Changes are ordered by commit, then by their place in it: commit << PLACES | place.
+PLACES = 20
 
 
 @dataclass
@@ -39,13 +42,13 @@ class Change:
     high: object = None
     keys: list | None = None
 
-    def meets(self, other: dict) -> bool:
-        """Whether both may have changed the same row."""
+    def meets(self, other: dict) -> bool | None:
+        """Whether both have changed the same row; None if only their files tell."""
         if self.low is None or other["low"] is None:
             return False
         if self.keys is not None and other["keys"] is not None:
             return bool(set(self.keys) & set(other["keys"]))
-        return self.low <= other["high"] and other["low"] <= self.high
+        return None if self.low <= other["high"] and other["low"] <= self.high else False
 
 
 @dataclass
@@ -54,7 +57,8 @@ class State:
 
     version: int = 0
     tables: dict[str, TableSchema] = field(default_factory=dict)
-    folders: dict[str, list[tuple[int, str]]] = field(default_factory=dict)
+    folders: dict[str, list[tuple[int, str]]] = field(default_factory=dict)  # with their place in the order of changes
+    clean: dict[str, str] = field(default_factory=dict)  # the last compaction's folder: each key once, no deletions
     written: dict[str, int] = field(default_factory=dict)  # rows since the last compaction
 
 
@@ -62,6 +66,7 @@ class Database:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
         self._entries: dict[int, dict] = {}
+        self._last = State()
         self.retention = RetentionModel()
 
     # log ------------------------------------------------------------------------------------
@@ -75,19 +80,29 @@ class Database:
         found = [n for n in self.store.names("log") if n.endswith(".json")]
         return int(found[-1][:10]) if found else 0
 
-    def state(self, version: int | None = None) -> State:
-        out = State(self.latest() if version is None else version)
-        for v in range(1, out.version + 1):
+    def state(self, version: int | None = None, pending: Sequence[Change] = ()) -> State:
+        """What the log holds up to a version, and the changes of a transaction on top of it. The log is read on
+        from the last state that was asked for."""
+        version = self.latest() if version is None else version
+        old = self._last
+        if old.version > version:
+            old = State()
+        out = State(version, dict(old.tables), {t: list(f) for t, f in old.folders.items()}, dict(old.clean), dict(old.written))
+        for v in range(old.version + 1, version + 1):
             e = self.entry(v)
             for name, schema in e.get("tables", {}).items():
                 out.tables[name] = TableSchema.from_json(schema)
                 out.folders.setdefault(name, [])
-            for c in e.get("changes", []):
-                out.folders[c["table"]].append((v, c["folder"]))
+            for i, c in enumerate(e.get("changes", [])):
+                out.folders[c["table"]].append((v << PLACES | i, c["folder"]))
                 out.written[c["table"]] = out.written.get(c["table"], 0) + c["rows"]
             for name, (folder, upto, rows) in e.get("compacted", {}).items():
-                out.folders[name] = [(upto, folder)] + [(w, f) for w, f in out.folders[name] if w > upto]
-                out.written[name] = rows
+                out.folders[name] = [(((upto + 1) << PLACES) - 1, folder)] + [(w, f) for w, f in out.folders[name] if w >> PLACES > upto]
+                out.clean[name], out.written[name] = folder, rows
+        if version > self._last.version:
+            self._last = State(version, dict(out.tables), {t: list(f) for t, f in out.folders.items()}, dict(out.clean), dict(out.written))
+        for i, c in enumerate(pending):
+            out.folders[c.table].append(((version + 1) << PLACES | i, c.folder))
         return out
 
     def _append(self, make: Callable[[State], dict]) -> int:
@@ -124,9 +139,9 @@ class Database:
 
     # rows -----------------------------------------------------------------------------------
 
-    def _changes(self, table: str, version: int | None = None) -> DataFrame:
-        """All rows that commits have written, with _ts (the commit) and _op."""
-        state = self.state(version)
+    def _changes(self, table: str, version: int | None = None, pending: Sequence[Change] = ()) -> DataFrame:
+        """All rows that commits have written, with _ts (the place in the order of changes) and _op."""
+        state = self.state(version, pending)
         schema = self.schema(table, state.version)
         folders = state.folders[schema.name]
         empty = self.spark.createDataFrame([], schema.struct.add("_op", "string").add("_seq", "long"))
@@ -136,15 +151,17 @@ class Database:
         number = F.create_map(*[x for v, f in folders for x in (F.lit(f.rpartition("/")[2]), F.lit(v))])
         return rows.withColumn("_ts", F.element_at(number, F.regexp_extract("_metadata.file_path", r"/(c-[0-9a-f]+)/[^/]+$", 1)))
 
-    def snapshot(self, table: str, version: int | None = None) -> DataFrame:
-        """The table's rows as of a version: for each key the last row, unless it is deleted."""
-        schema = self.schema(table, version)
-        names = [c.name for c in schema.columns]
-        rows = self._changes(table, version)
-        if schema.key is None or len(self.state(version).folders[schema.name]) < 1:
+    def snapshot(self, table: str, version: int | None = None, pending: Sequence[Change] = ()) -> DataFrame:
+        """The table's rows as of a version, or as a transaction on it sees them: for each key the last row, unless
+        it is deleted. Conditions on the key reach the scan."""
+        state = self.state(version, pending)
+        schema = self.schema(table, state.version)
+        names, folders = [c.name for c in schema.columns], state.folders[schema.name]
+        rows = self._changes(table, state.version, pending)
+        if schema.key is None or not folders or [f for _, f in folders] == [state.clean.get(schema.name)]:
             return rows.select(*names)
-        last = rows.groupBy(schema.key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("_ts", "_seq")]), F.struct("_ts", "_seq")).alias("r"))
-        return last.where("r._op <> 'D'").select(*[F.col("r")[n].alias(n) for n in names])
+        last = rows.groupBy(schema.key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("_ts", "_seq", schema.key)]), F.struct("_ts", "_seq")).alias("__r"))
+        return last.where("__r._op <> 'D'").select(*[F.col(n) if n == schema.key else F.col("__r")[n].alias(n) for n in names])
 
     def write(self, table: str, rows: DataFrame, op: str, base: int) -> Change:
         """Put rows into a new folder. Nobody sees them until they are committed."""
@@ -181,10 +198,19 @@ class Database:
         if not changes:
             return self.latest()
 
+        def same_rows(c: Change, o: dict) -> bool:
+            if c.table != o["table"] or (meets := c.meets(o)) is False:
+                return False
+            if meets is None:
+                key = self.schema(c.table).key
+                mine, theirs = (self.spark.read.parquet(self.store.full(f)).select(key) for f in (c.folder, o["folder"]))
+                return not mine.join(theirs, key, "left_semi").isEmpty()
+            return True
+
         def make(state: State) -> dict:
             for c in changes:
                 for v in range(c.base + 1, state.version + 1):
-                    if c.op != "I" and any(c.table == o["table"] and c.meets(o) for o in self.entry(v).get("changes", [])):
+                    if c.op != "I" and any(same_rows(c, o) for o in self.entry(v).get("changes", [])):
                         raise ConflictError(f"{c.table}: commit {v} has changed the same rows")
             return {"changes": [{"table": c.table, "folder": c.folder, "rows": c.rows, "op": c.op, "low": c.low, "high": c.high, "keys": c.keys} for c in changes]}
 
@@ -227,10 +253,14 @@ class Database:
         self.compact(table)
         return True
 
-    def vacuum(self) -> int:
-        """Delete folders that no entry of the log names, of writers that died. Not while others write."""
-        named = {c["folder"] for v in range(1, self.latest() + 1) for c in self.entry(v).get("changes", [])}
-        named |= {f for v in range(1, self.latest() + 1) for f, _, _ in self.entry(v).get("compacted", {}).values()}
+    def vacuum(self, horizon: int | None = None) -> int:
+        """Delete folders that no entry of the log names, of writers that died. Not while others write. With a
+        horizon, also those that no snapshot from that version on reads; older snapshots can't be read then."""
+        latest = self.latest()
+        first = 1 if horizon is None else min(horizon, latest) + 1
+        named = set() if horizon is None else {f for folders in self.state(first - 1).folders.values() for _, f in folders}
+        named |= {c["folder"] for v in range(first, latest + 1) for c in self.entry(v).get("changes", [])}
+        named |= {f for v in range(first, latest + 1) for f, _, _ in self.entry(v).get("compacted", {}).values()}
         gone = 0
         for table in self.store.names("data"):
             for name in self.store.names(f"data/{table}"):
