@@ -345,7 +345,7 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "dml_delete": (_after("DELETE FROM o WHERE price > 150000 OR cust = 3"), f"SELECT * FROM ({ORDERS}) t WHERE NOT (price > 150000 OR cust = 3)"),
     "dml_snapshot_as_of": (dml_snapshot_as_of, ORDERS),
     "dml_compaction_noop": (dml_compaction_noop, f"SELECT k, cust, price, CASE WHEN price > 200000 THEN 'X' ELSE status END AS status FROM ({ORDERS}) t"),
-    "dml_transaction_rewrite": (dml_transaction_rewrite, f"SELECT * FROM (SELECT k, cust, CASE WHEN k < 1000 THEN 11.0 WHEN price < 11 THEN price + 1 ELSE price END AS price, status FROM ({ORDERS}) t) u WHERE status <> 'P' UNION ALL SELECT -2, 1, 3.5, 'N'"),
+    "dml_transaction_rewrite": (dml_transaction_rewrite, f"SELECT * FROM (SELECT k, cust, CASE WHEN k < 1000 THEN 11.0 WHEN price < 11 THEN price + 1 ELSE price END AS price, status FROM ({ORDERS}) t) u WHERE status <> 'P' UNION ALL SELECT -2, 1, 2.5, 'N'"),
     "dml_point_update": (_after("UPDATE o SET price = 0.5 WHERE k = 7", "DELETE FROM o WHERE k = 3"), f"SELECT k, cust, CASE WHEN k = 7 THEN 0.5 ELSE price END AS price, status FROM ({ORDERS}) t WHERE k <> 3"),
     "dml_transaction": (dml_transaction, f"SELECT * FROM ({ORDERS}) t WHERE status <> 'F' UNION ALL SELECT -1, 1, 1.5, 'N'"),
     "prepared_select": (prepared_select, f"SELECT k, price FROM ({ORDERS}) t WHERE cust = 7 OR price > 290000"),
