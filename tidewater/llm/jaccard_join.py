@@ -313,10 +313,16 @@ class Matrix:
         self.parts = parallelism(docs.sparkSession)
         self.rows = stage(map_arrow(docs, _sets, "doc_id long, n int, v long, tokens array<long>"), "jaccard", "snappy")  # hashes don't compress
         self.sets = self.rows.where("tokens is not null").select("v", "tokens")
-        self.shared = stage(self._shared(), "jaccard")
+        shared, salted = self._shared()
+        self.shared = self.led = stage(shared, "jaccard")
+        if salted is not None:  # such a token has a leader in each of its parts: the least of them leads; at most HOT rows
+            heads = self.shared.where(F.col("token") >= salted).groupBy("token").agg(F.min(F.struct("a", "m", "at")).alias("head"))
+            lead = [F.coalesce(F.col("head")[c], F.col(c)).alias(c) for c in ("a", "m", "at")]
+            self.led = self.shared.join(F.broadcast(heads), "token", "left").select("token", "v", "n", "pos", *lead)
         self.members = stage(self._members(), "jaccard")
 
-    def _shared(self) -> DataFrame:
+    def _shared(self) -> tuple[DataFrame, int | None]:
+        """What stands at tokens of several prefixes, and from which token on rows were salted."""
         counts = map_arrow(self.sets.select("tokens"), _frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
         counts = stage(counts, "jaccard")
         # the least count of which at most HOT tokens have as much; counts in steps of an eighth of a power of two
@@ -335,12 +341,13 @@ class Matrix:
         tokens = map_arrow(self.sets, _prefixes, "token long, v long, n int, pos int", hot=hot[by], rank=rank[by])
         tokens = tokens.withColumn("salt", F.when(F.col("token") >= salted, F.pmod("v", F.lit(SALTS))).otherwise(0).cast("int"))
         tokens = tokens.repartition(self.parts, "token", "salt").sortWithinPartitions("token", "salt", "v")
-        return map_arrow(tokens, _shared, "token long, v long, n int, pos int, a long, m int, at int", salted=salted)
+        shared = map_arrow(tokens, _shared, "token long, v long, n int, pos int, a long, m int, at int", salted=salted)
+        return shared, salted if (n > bar).any() else None
 
     def _members(self) -> DataFrame:
         """v, n, a, label, g, size: every vertex that shares a token, with its leader and its group (a block of those of one label)."""
         # c: how many tokens of their prefixes v and a share; pos, at: where the last one stands, what stands before it without being common is missing from the other set
-        met = self.shared.groupBy("v", "a").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.first("n").alias("n"), F.first("m").alias("m"))
+        met = self.led.groupBy("v", "a").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.first("n").alias("n"), F.first("m").alias("m"))
         may = f"v <> a and (7 * least(n - (pos + 1 - c), m - (at + 1 - c)) >= 3 * (n + m) and {enough('n', 'm', 'm', 'c')} or {KIN} * c > n)"
         best = met.groupBy("v").agg(F.first("n").alias("n"), F.max(F.when(F.expr(may), F.struct("c", F.bitwise_not("a").alias("a")))).alias("best"))
         best = stage(best.select("v", "n", F.bitwise_not("best.a").alias("a")), "jaccard")
