@@ -199,21 +199,17 @@ def test_shards_whatever_the_split(make):
     assert got[0] == got[1] and sorted((x[:3] for x in got[0]), key=str) == sizes
 
 
-def test_inclusion_follows_the_noise(make, spark):
-    """Documents near the boundary are drawn by some seeds and not by others, as often as Gumbel noise says; of
-    each draw the rows with the k highest keys are kept."""
+def test_noise_decides_at_a_high_temperature(make, spark):
+    """Keys are weight / temperature + Gumbel noise, and the rows with the k highest are kept. At a temperature far above
+    the weights seeds draw different documents; at the default one these texts are too clear for that."""
     good = [(i, "calm sober words about rivers and hills " * 3, "a") for i in range(40)]
     bad = [(100 + i, "win cash now click here fast " * 3, "a") for i in range(40)]
-    near = [(200 + i, "calm sober words win cash now", "a") for i in range(40)]
     labels = spark.createDataFrame([(i, 1, 0, "") for i, *_ in good[:30]] + [(i, 0, 0, "") for i, *_ in bad[:30]], LABELS)
-    shares, weights = [], {}
-    for seed in range(6):
-        got = resampling.importance(make([*good, *bad, *near]), labels, seed=seed).collect()
-        keys = sorted((r["key"] for r in got if r["key"] is not None), reverse=True)
-        kept = [r["key"] for r in got if r["kept"]]
-        assert sorted(kept, reverse=True) == keys[: len(kept)]
-        noise = [r["key"] - r["log_weight"] for r in got if r["key"] is not None]
-        assert -3 < min(noise) < 0 < max(noise) and abs(float(np.mean(noise)) - 0.5772) < 0.5  # Gumbel's mean
-        shares.append({r["doc_id"] for r in got if r["kept"] and r["doc_id"] >= 200})
-        weights |= {r["doc_id"]: r["log_weight"] for r in got}
-    assert len({frozenset(x) for x in shares}) > 1 or not any(abs(w) < 1 for w in weights.values())
+    drawn = []
+    for seed in (1, 2):
+        got = resampling.importance(make([*good, *bad]), labels, temperature=1000.0, seed=seed).collect()
+        kept = sorted((r["key"] for r in got if r["kept"]), reverse=True)
+        assert kept == sorted((r["key"] for r in got), reverse=True)[: len(kept)] and len(kept) == sum(r["log_weight"] > 0 for r in got)
+        assert abs(float(np.mean([r["key"] - r["log_weight"] / 1000 for r in got])) - 0.5772) < 0.6  # Gumbel's mean
+        drawn.append({r["doc_id"] for r in got if r["kept"]})
+    assert drawn[0] != drawn[1] and any(i >= 100 for x in drawn for i in x)
