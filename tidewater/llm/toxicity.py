@@ -8,7 +8,9 @@ log odds are out of fold: each row's come from models that have not seen it. Mod
 most `sample` labelled rows (those with the smallest hashes); every whole text is scored.
 
 Null and empty texts hold no words. Rows of labels with a null category are not trained on; without
-labels, or with one class only, a category's probability is its share. Repeated rows get equal results.
+labels, or with one class only, a category's probability is its share. Repeated rows get equal results; of a labelled
+document that comes several times one row is trained on. Slots are counted and selected by Spark; the driver gets the
+labelled rows with no slots but those that a model may select, so its memory does not grow with the texts.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +126,42 @@ def predict_chain(models: Sequence[Linear], rows: Sequence[np.ndarray]) -> np.nd
     return 1 / (1 + np.exp(-earlier))
 
 
-def _featurize(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    for b in slices(batches):
-        found = [words_of(t or "").tobytes() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), *b.columns[2:]], ["doc_id", "slots", *b.schema.names[2:]])
+def _featurize(batches: Iterable[pa.RecordBatch], seed: int) -> Iterable[pa.RecordBatch]:
+    for b in slices(batches, 64):
+        found = [words_of(t or "") for t in b.column(1).to_pylist()]
+        folds = [xxhash.xxh64_intdigest(str(d), seed) % FOLDS for d in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(folds, pa.int32()), *b.columns[2:]], ["doc_id", "slots", "fold", *b.schema.names[2:]])
+
+
+def _only(batches: Iterable[pa.RecordBatch], slots: np.ndarray) -> Iterable[pa.RecordBatch]:
+    """The rows with no slots but the given ones."""
+    for b in slices(batches, 64):
+        found = [np.intersect1d(np.array(x, np.int32), slots) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), *b.columns[2:]], b.schema.names)
+
+
+def selected(rows: DataFrame, targets: Sequence[str]) -> np.ndarray:
+    """All slots that some model of the chain, over all folds but one or over all, may select: counted by Spark, so that
+    the driver gets no more than WORDS a model whatever the texts' length."""
+    folds = range(FOLDS)
+    sums = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in targets]).collect()}  # a row a fold
+    counts = rows.select(F.explode("slots").alias("slot"), "fold", *targets).groupBy("slot").agg(
+        *[F.count_if(F.col("fold") == f).alias(f"n{f}") for f in folds],
+        *[F.sum(F.when(F.col("fold") == f, F.col(y)).otherwise(0)).alias(f"{y}_{f}") for y in targets for f in folds],
+    )
+    counts, best = stage(counts, "chain"), []
+    for y in targets:
+        for left_out in (None, *folds):
+            of = [f for f in folds if f != left_out]
+            total, held = (sum(sums[f][c] for f in of if f in sums) for c in ("n", y))
+            if 0 < held < total:
+                share = min(max(held / total, 1e-4), 1 - 1e-4)
+                n, hits = (sum((F.col(c.format(f)) for f in of[1:]), F.col(c.format(of[0]))) for c in ("n{}", y + "_{}"))
+                z = F.abs(hits - n * share) / F.sqrt(F.greatest(n, F.lit(1)) * share * (1 - share))
+                some = counts.where(n > 0).select("slot", z.alias("z"))
+                best.append(some.orderBy(F.desc("z"), "slot").limit(WORDS).select("slot"))
+    found = reduce(DataFrame.union, best).distinct().collect() if best else []
+    return np.sort(np.array([r["slot"] for r in found], np.int32))
 
 
 def _score(batches: Iterable[pa.RecordBatch], models: list[Linear]) -> Iterable[pa.RecordBatch]:
@@ -141,11 +176,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
     known = known.groupBy("doc_id").agg(*[F.max(f"y{j}").alias(f"y{j}") for j in range(len(categories))])
     known = stage(known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample), "chain")
     rows = id_and_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", *[f"y{j}" for j in range(len(categories))])
-    schema = "doc_id long, slots binary, " + ", ".join(f"y{j} int" for j in range(len(categories)))
-    found = map_arrow(rows, _featurize, schema).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "slots").limit(sample).collect()
-    slots = [np.frombuffer(r["slots"], np.int32) for r in found]
+    targets = [f"y{j}" for j in range(len(categories))]
+    schema = "doc_id long, slots array<int>, fold int, " + ", ".join(f"{y} int" for y in targets)
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
+    one = rows.groupBy("doc_id").agg(F.min("h").alias("h"))  # as many rows as known has, at most
+    rows = rows.join(F.broadcast(one), ["doc_id", "h"]).select("doc_id", "text", *targets)
+    rows = stage(map_arrow(rows, _featurize, schema, seed=seed).dropDuplicates(["doc_id"]), "chain")
+    kept = map_arrow(rows, _only, schema, slots=selected(rows, targets))  # a document holds at most as many as are selected
+    found = kept.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "slots").collect()
+    slots = [np.array(r["slots"], np.int32) for r in found]
     y = np.array([[r[f"y{j}"] for j in range(len(categories))] for r in found], float).reshape(len(found), len(categories))
-    folds = np.array([xxhash.xxh64_intdigest(str(r["doc_id"]), seed) % FOLDS for r in found], int)
+    folds = np.array([r["fold"] for r in found], int)
     return fit_chain(slots, y, folds)
 
 
