@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -75,6 +77,25 @@ def test_toxicity_of_odd_documents(spark, make):
     assert two.columns == ["doc_id", "p_quality", "p_toxic", "toxic"]
 
 
+def test_slots_selected_by_spark(spark, make):
+    """Trained on what Spark selects, the chain is the one that is fitted on all slots of all labelled texts."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(700)]
+    rows, marks = [], []
+    for i in range(260):
+        low, toxic = r.random() < 0.4, r.random() < 0.3
+        rows.append((i, " ".join(r.choices(words, k=30) + ["junk"] * (low and r.random() < 0.8) + ["nasty"] * (toxic and r.random() < 0.8)), "a"))
+        marks.append((i, int(low), int(toxic), ""))
+    models = toxicity.train(make([*rows, rows[3], *ODD]), spark.createDataFrame([*marks, (7, None, 1, "")], LABELS), ("quality", "toxic"))
+    order = [x["id"] for x in spark.range(260).orderBy(F.xxhash64("id", F.lit(toxicity.SEED)), "id").collect() if x["id"] not in {i for i, *_ in ODD}]
+    slots = [toxicity.words_of(rows[i][1]) for i in order]
+    folds = np.array([toxicity.xxhash.xxh64_intdigest(str(i), toxicity.SEED) % toxicity.FOLDS for i in order])
+    want = toxicity.fit_chain(slots, np.array([marks[i][1:3] for i in order]), folds)
+    texts = [toxicity.words_of(t or "") for _, t, *_ in rows + ODD]
+    assert len(models) == 2 and len(models[1].slots)
+    assert np.abs(toxicity.predict_chain(models, texts) - toxicity.predict_chain(want, texts)).max() < 0.05
+
+
 # sharding ---------------------------------------------------------------------------------------
 
 
@@ -171,6 +192,32 @@ def test_top_k(spark, blocks):
     assert sorted(map(tuple, topk.top_k(df, 20, block=blocks[0], query_block=blocks[1]).collect())) == top_by_force(rows, 20)
 
 
+def test_vectors_of_any_magnitude(spark):
+    """Beyond 53 bits whole numbers decide; beyond a long the nearest long; beyond a double vectors take no part."""
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(size=4) * 10.0 ** r.integers(0, 40)]) for i in range(150)]
+    rows += [(200 + i, [float(2**30 + i), 1.0, 0.0, -float(2**29)]) for i in range(40)] + [(400, [1e307, 1.0, 1.0, 1.0])]  # 64e307 is no double
+    whole = {i: [math.floor(64 * Fraction(x)) if abs(64 * x) < 2**52 else int(64 * x) for x in v] for i, v in rows if i != 400}
+    want = []
+    for q in sorted(whole):
+        if q % 20 == 0:
+            scores = {i: sum(a * b for a, b in zip(whole[q], v, strict=True)) for i, v in whole.items() if i != q}
+            scored = sorted((-min(max(s, -(2**63)), 2**63 - 1), i) for i, s in scores.items())[:20]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_bars_lose_nothing():
+    """A bar that k candidates reach somewhere leaves all rows that reach it."""
+    r = np.random.default_rng(7)
+    q, v = np.floor(r.normal(size=(9, 8)) * 64), np.floor(r.normal(size=(4000, 8)) * 64)
+    scores = q @ v.T
+    bars = np.sort(scores, axis=1)[:, -10]
+    for i, (places, found) in enumerate(topk.nra(q, np.full(9, -1), v, np.arange(4000), 20, bars)):
+        assert found[:10].tolist() == np.sort(scores[i])[::-1][:10].tolist() and (scores[i][places] == found).all()
+
+
 def test_few_vectors(spark):
     df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert topk.top_k(df([])).count() == 0 and topk.top_k(df([(0, [1.0])])).count() == 0
