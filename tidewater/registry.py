@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import statistics, vector
@@ -325,6 +325,53 @@ def range_partition_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("t")).agg(F.sum("n").alias("n"), F.round(F.sum("t"), 1).alias("total"))
 
 
+def analyze_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ANALYZE finds in orders; whether its distinct values are within 5 % of the true number."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    found = statistics.analyze(o)
+    true = o.agg(*[F.count_distinct(c).alias(c) for c in o.columns]).first()
+    rows = [(c, d.rows, d.nulls, d.low, d.high, abs(d.distinct - true[c]) <= 0.05 * true[c]) for c, d in found.items()]
+    return spark.createDataFrame(rows, "name string, n long, nulls long, low double, high double, ndv_close boolean")
+
+
+def estimates_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters' true rows, and whether the estimates are within 2 % of all rows."""
+    n = load(spark, sf_dir, "orders").count()
+    close = F.abs(F.col("estimated") - F.col("actual")) <= 0.02 * n
+    return estimates(spark, sf_dir).select("predicate", "actual", close.alias("close"))
+
+
+def rmi_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that a recursive model index of 16 leaves predicts."""
+    index = learned_index.RMI(load(spark, sf_dir, "orders"), "o_orderkey", 16)
+    return index.predict().select(F.col("key").cast("long").alias("key"), "position", F.round("predicted", 3).alias("predicted"))
+
+
+def cdf_rank_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True ranks, and whether the predicted ones are within the index's bound and the key's own gap."""
+    close = F.abs(F.col("predicted") - F.col("actual")) <= learned_index.EPSILON + 1
+    return cdf_rank(spark, sf_dir).select("key", "actual", close.alias("close"))
+
+
+def ann_recall_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_recall(spark, sf_dir).select((F.col("recall") >= 0.9).alias("reached"))
+
+
+def hash_partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys there are, and how many of them hash partitioning puts into more than one partition."""
+    p = partitioning.partition(load(spark, sf_dir, "orders").select("o_custkey"), "hash", 16, "o_custkey")
+    keys = p.groupBy("o_custkey", F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).groupBy("o_custkey").agg(F.count("*").alias("parts"))
+    return keys.agg(F.count("*").alias("keys"), F.count_if(F.col("parts") > 1).alias("split"))
+
+
+def range_partition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys stand in the partitions, and how many partitions begin before their predecessor ends."""
+    p = partitioning.partition(load(spark, sf_dir, "orders").select("o_orderkey"), "range", 8, "o_orderkey")
+    ranges = p.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    before = F.lag("high").over(Window.orderBy("part"))  # a row a partition
+    return ranges.withColumn("before", before).agg(F.sum("n").alias("n"), F.count_if(F.col("low") <= F.col("before")).alias("overlaps"))
+
+
 FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "flagship": (flagship, "SELECT c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment HAVING count(*) > 1"),
     "distinct_hidden_order": (distinct_hidden_order, "SELECT o_orderpriority FROM (SELECT o_orderpriority, min(o_totalprice) AS m FROM orders GROUP BY 1) t ORDER BY m, o_orderpriority LIMIT 3"),
@@ -356,6 +403,18 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "ann_recall": (ann_recall, None),
     "hash_partition_counts": (hash_partition_counts, "SELECT count(*) AS n FROM orders"),
     "range_partition_totals": (range_partition_totals, "SELECT count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders"),
+    "analyze_columns": (analyze_columns, " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) - count({c}) AS nulls, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, TRUE AS ndv_close FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice"))),
+    "estimates_close": (estimates_close, " UNION ALL ".join(f"SELECT '{c}' AS predicate, count(*) AS actual, TRUE AS close FROM orders WHERE {c}" for c in ("o_totalprice < 100000", "o_totalprice >= 250000", "o_orderkey > 700"))),
+    "rmi_predict": (rmi_predict, """
+        WITH p AS (SELECT CAST(o_orderkey AS DOUBLE) AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders),
+        r AS (SELECT regr_slope(pos, k) AS s, regr_intercept(pos, k) AS i, count(*) AS n FROM p),
+        l AS (SELECT k, pos, greatest(0, least(15, floor((k * s + i) * 16 / n))) AS leaf FROM p, r),
+        m AS (SELECT leaf, coalesce(regr_slope(pos, k), 0.0) AS s, coalesce(regr_intercept(pos, k), avg(pos)) AS i FROM l GROUP BY leaf)
+        SELECT CAST(k AS BIGINT) AS key, pos AS position, round(k * s + i, 3) AS predicted FROM l JOIN m USING (leaf)"""),
+    "cdf_rank_close": (cdf_rank_close, " UNION ALL ".join(f"SELECT CAST({x} AS DOUBLE) AS key, count(*) AS actual, TRUE AS close FROM orders WHERE o_totalprice < {x}" for x in (50_000, 150_000, 250_000))),
+    "ann_recall_reached": (ann_recall_reached, "SELECT TRUE AS reached"),
+    "hash_partition_keys": (hash_partition_keys, "SELECT count(DISTINCT o_custkey) + max(CAST(o_custkey IS NULL AS INTEGER)) AS keys, CAST(0 AS BIGINT) AS split FROM orders"),
+    "range_partition_order": (range_partition_order, "SELECT count(*) AS n, CAST(0 AS BIGINT) AS overlaps FROM orders"),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(run_sql, s if isinstance(s, str) else s[0]) for k, s in STATEMENTS.items()} | {k: f for k, (f, _) in FUNCTIONS.items()}
