@@ -231,3 +231,61 @@ def test_vacuum_with_a_horizon(shop):
     assert shop.database.vacuum(before) == 0 and shop.table("growers", before).count() == 2
     assert shop.database.vacuum(shop.database.latest()) == 2
     assert values(shop.sql("SELECT age FROM growers")) == [1, 1]
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_leads_to_keys(shop):
+    shop.sql("CREATE INDEX by_grower ON crates(grower)")
+    found = shop.sql("SELECT c.id FROM crates AS c WHERE c.grower = 1 AND kilos > 4 ORDER BY id")
+    assert "In(id, [31,32])" in scans(found) and values(found) == [31]
+    shop.sql("UPDATE crates SET grower = 2 WHERE id = 31")
+    shop.sql("INSERT INTO crates VALUES (34, 1, NULL), (35, NULL, 1.0)")
+    assert shop.database.lookup("crates", "grower", "value = 1") == [31, 32, 34]  # 31 has it no more
+    assert values(shop.sql("SELECT id FROM crates WHERE grower = 1 ORDER BY id")) == [32, 34]
+    assert values(shop.sql("SELECT id FROM crates WHERE grower = 9")) == []
+    assert values(shop.sql("SELECT id FROM crates WHERE grower = 1 OR id = 33 ORDER BY id")) == [32, 33, 34]
+    assert values(shop.sql("UPDATE crates SET kilos = 2 WHERE grower = 2")) == [2]
+    assert values(shop.sql("DELETE FROM crates WHERE grower = 1 AND kilos IS NULL")) == [1]
+    shop.database.compact("crates")
+    assert shop.database.lookup("crates", "grower", "value = 1") == [32]
+    shop.database.vacuum(shop.database.latest())
+    assert values(shop.sql("SELECT id FROM crates WHERE grower = 2 ORDER BY id")) == [31, 33]
+
+
+def test_index_in_a_transaction_and_of_a_version(shop):
+    shop.sql("CREATE INDEX by_grower ON crates(grower)")
+    with shop.transaction() as t:
+        t.sql("INSERT INTO crates VALUES (50, 3, 1.0)")
+        assert values(t.read("SELECT id FROM crates WHERE grower = 3")) == [50]
+        assert t.sql("UPDATE crates SET kilos = 5 WHERE grower = 3") == 1
+    assert values(shop.sql("SELECT kilos FROM crates WHERE grower = 3")) == [5.0]
+
+
+def test_without_an_index_on_all_folders_the_table_is_read(shop, monkeypatch):
+    from tidewater.sources import database
+
+    base = shop.database.latest()
+    late = shop.database.write("crates", shop.spark.createDataFrame([(60, 1, 1.0)], "id long, grower long, kilos double"), "I", base)
+    shop.sql("CREATE INDEX by_grower ON crates(grower)")
+    shop.database.commit([late])  # written when there was no index
+    assert shop.database.lookup("crates", "grower", "value = 1") is None
+    assert values(shop.sql("SELECT id FROM crates WHERE grower = 1 ORDER BY id")) == [31, 32, 60]
+    shop.database.compact("crates")
+    assert shop.database.lookup("crates", "grower", "value = 1") == [31, 32, 60]
+    monkeypatch.setattr(database, "LOOKUP_KEYS", 2)
+    assert shop.database.lookup("crates", "grower", "value = 1") is None
+    assert values(shop.sql("SELECT id FROM crates WHERE grower = 1 ORDER BY id")) == [31, 32, 60]
+
+
+def test_equalities():
+    from tidewater.plans.dialect import equalities, only_table, significant
+
+    assert equalities(significant("a = 1 AND t.b = 'x' AND c > 2 AND d = -3 AND (e = 1 OR f = 2)")) == [("a", "1"), ("b", "'x'"), ("d", "- 3")]
+    for other in ("a = 1 OR b = 2", "a BETWEEN 1 AND b = 2", "NOT a = 1", "a = b", "a = NULL", "a = 1 + 1"):
+        assert equalities(significant(other)) == []
+    assert only_table(significant("SELECT a FROM t x WHERE a = 1 ORDER BY a"))[0] == "t"
+    for other in ("SELECT a FROM t JOIN u WHERE a = 1", "SELECT a FROM t, u WHERE a = 1", "SELECT a FROM t WHERE a IN (SELECT a FROM t)", "SELECT a FROM t WHERE a = 1 UNION TABLE t"):
+        assert only_table(significant(other)) is None

@@ -269,6 +269,30 @@ def dml_transaction_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.table("o")
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> Engine:
+    """Orders with an index on the customer, which some have changed since."""
+    e = _orders_engine(spark, sf_dir)
+    e.sql("CREATE INDEX by_cust ON o(cust)")
+    e.sql("UPDATE o SET cust = 7 WHERE cust = 8")
+    return e
+
+
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir).sql("SELECT k, cust, price FROM o WHERE cust = 7 AND price > 1000")
+
+
+def index_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value that the index still lists and no row has any more, and one that rows have got since."""
+    e = _indexed(spark, sf_dir)
+    return e.sql("SELECT count(*) AS n FROM o WHERE cust = 8").unionAll(e.sql("SELECT count(*) AS n FROM o WHERE cust = 7"))
+
+
+def dml_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _indexed(spark, sf_dir)
+    e.sql("DELETE FROM o WHERE cust = 7 AND status = 'F'")
+    return e.table("o")
+
+
 def prepared_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _orders_engine(spark, sf_dir)
     return e.execute(e.prepare("SELECT k, price FROM o WHERE cust = $1 OR price > $2"), [7, 290000.0])
@@ -395,6 +419,9 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "dml_transaction_rewrite": (dml_transaction_rewrite, f"SELECT * FROM (SELECT k, cust, CASE WHEN k < 1000 THEN 11.0 WHEN price < 11 THEN price + 1 ELSE price END AS price, status FROM ({ORDERS}) t) u WHERE status <> 'P' UNION ALL SELECT -2, 1, 2.5, 'N'"),
     "dml_point_update": (_after("UPDATE o SET price = 0.5 WHERE k = 7", "DELETE FROM o WHERE k = 3"), f"SELECT k, cust, CASE WHEN k = 7 THEN 0.5 ELSE price END AS price, status FROM ({ORDERS}) t WHERE k <> 3"),
     "dml_transaction": (dml_transaction, f"SELECT * FROM ({ORDERS}) t WHERE status <> 'F' UNION ALL SELECT -1, 1, 1.5, 'N'"),
+    "index_lookup": (index_lookup, f"SELECT k, 7 AS cust, price FROM ({ORDERS}) t WHERE cust IN (7, 8) AND price > 1000"),
+    "index_stale": (index_stale, f"SELECT CAST(0 AS BIGINT) AS n UNION ALL SELECT count(*) FROM ({ORDERS}) t WHERE cust IN (7, 8)"),
+    "dml_indexed": (dml_indexed, f"SELECT k, CASE WHEN cust = 8 THEN 7 ELSE cust END AS cust, price, status FROM ({ORDERS}) t WHERE NOT (cust IN (7, 8) AND status = 'F')"),
     "prepared_select": (prepared_select, f"SELECT k, price FROM ({ORDERS}) t WHERE cust = 7 OR price > 290000"),
     "rmi_fit": (rmi_fit, "SELECT round(regr_slope(p, k), 6) AS slope, round(regr_intercept(p, k), 3) AS intercept FROM (SELECT CAST(o_orderkey AS DOUBLE) AS k, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS DOUBLE) AS p FROM orders) t"),
     "pgm_lookup": (pgm_lookup, "SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders"),

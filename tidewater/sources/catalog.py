@@ -46,6 +46,10 @@ class TableSchema:
     def with_index(self, index: str, column: str) -> TableSchema:
         return replace(self, indexes=self.indexes | {index: self.column(column).name})
 
+    def indexable(self, column: str) -> bool:
+        """Whether an index can lead from the column's values to keys."""
+        return self.key is not None and column != self.key and not isinstance(self.column(column).type, T.ArrayType)
+
     def to_json(self) -> dict:
         return asdict(self)
 

@@ -4,7 +4,11 @@ A commit is one JSON file in log/, numbered, created only if no other has taken
 folders of Parquet files that were written before; files that no commit names are not seen, so a writer
 that dies leaves nothing behind in any table. Several tables may change in one commit, and a snapshot is
 a version of the whole database. A table with a key keeps changes: of each key the row of the last
-commit counts, unless it is a deletion."""
+commit counts, unless it is a deletion.
+
+An index on a column keeps, for each folder, the keys of its rows in the order of the column's values. Nothing is
+ever taken out of it: it tells which keys have or once had a value, and the rows themselves are looked at again. A
+folder without one, of a commit that came between, makes a lookup read the table until the next compaction."""
 
 from __future__ import annotations
 
@@ -25,6 +29,8 @@ from tidewater.sources.retention import RetentionModel
 #: the files are compared.
 LISTED_KEYS = 1000
 RETRIES = 50
+#: Keys that a lookup in an index puts into a condition; beyond them the table is scanned.
+LOOKUP_KEYS = 1000
 #: Changes are ordered by commit, then by their place in it: commit << PLACES | place.
 PLACES = 20
 
@@ -41,6 +47,7 @@ class Change:
     low: object = None
     high: object = None
     keys: list | None = None
+    indexes: dict[str, str] = field(default_factory=dict)  # of each indexed column the folder that holds its values
 
     def meets(self, other: dict) -> bool | None:
         """Whether both have changed the same row; None if only their files tell."""
@@ -60,6 +67,11 @@ class State:
     folders: dict[str, list[tuple[int, str]]] = field(default_factory=dict)  # with their place in the order of changes
     clean: dict[str, str] = field(default_factory=dict)  # the last compaction's folder: each key once, no deletions
     written: dict[str, int] = field(default_factory=dict)  # rows since the last compaction
+    indexed: dict[str, dict[str, str]] = field(default_factory=dict)  # of each folder its columns' index folders
+
+    def copy(self, version: int) -> State:
+        indexed = {f: dict(x) for f, x in self.indexed.items()}
+        return State(version, dict(self.tables), {t: list(f) for t, f in self.folders.items()}, dict(self.clean), dict(self.written), indexed)
 
 
 class Database:
@@ -87,7 +99,7 @@ class Database:
         old = self._last
         if old.version > version:
             old = State()
-        out = State(version, dict(old.tables), {t: list(f) for t, f in old.folders.items()}, dict(old.clean), dict(old.written))
+        out = old.copy(version)
         for v in range(old.version + 1, version + 1):
             e = self.entry(v)
             for name, schema in e.get("tables", {}).items():
@@ -99,10 +111,13 @@ class Database:
             for name, (folder, upto, rows) in e.get("compacted", {}).items():
                 out.folders[name] = [(((upto + 1) << PLACES) - 1, folder)] + [(w, f) for w, f in out.folders[name] if w >> PLACES > upto]
                 out.clean[name], out.written[name] = folder, rows
+            for folder, columns in e.get("indexes", {}).items():
+                out.indexed.setdefault(folder, {}).update(columns)
         if version > self._last.version:
-            self._last = State(version, dict(out.tables), {t: list(f) for t, f in out.folders.items()}, dict(out.clean), dict(out.written))
+            self._last = out.copy(version)
         for i, c in enumerate(pending):
             out.folders[c.table].append(((version + 1) << PLACES | i, c.folder))
+            out.indexed[c.folder] = c.indexes
         return out
 
     def _append(self, make: Callable[[State], dict]) -> int:
@@ -137,6 +152,47 @@ class Database:
 
         return self._append(make)
 
+    # indexes --------------------------------------------------------------------------------
+
+    def _sidecar(self, schema: TableSchema, rows: DataFrame, column: str) -> str:
+        """Write a column's values with the keys of their rows, in the order of both; a folder."""
+        folder = f"index/{schema.name}/x-{uuid.uuid4().hex}"
+        entries = rows.select(F.col(column).alias("value"), F.col(schema.key).alias("key")).where("value IS NOT NULL")
+        entries.repartitionByRange("value", "key").sortWithinPartitions("value", "key").write.parquet(self.store.full(folder))
+        return folder
+
+    def _sidecars(self, schema: TableSchema, rows: DataFrame) -> dict[str, str]:
+        return {c: self._sidecar(schema, rows, c) for c in sorted(set(schema.indexes.values())) if schema.indexable(c)}
+
+    def create_index(self, name: str, table: str, column: str) -> int:
+        """Index what is written, in one pass, and what will be. On a vector or a table without a key it is a
+        name only: these are searched by scans."""
+        state = self.state()
+        schema = self.schema(table, state.version).with_index(name, column)
+        column, made = schema.indexes[name], {}
+        missing = [f for _, f in state.folders[schema.name] if column not in state.indexed.get(f, {})]
+        if missing and schema.indexable(column):
+            folder = self._sidecar(schema, self.spark.read.schema(schema.struct).parquet(*[self.store.full(f) for f in missing]), column)
+            made = {f: {column: folder} for f in missing}
+
+        def make(now: State) -> dict:
+            return {"tables": {schema.name: now.tables[schema.name].with_index(name, column).to_json()}, "indexes": made}
+
+        return self._append(make)
+
+    def lookup(self, table: str, column: str, condition: str, version: int | None = None, pending: Sequence[Change] = ()) -> list | None:
+        """Keys of all rows with, or once with, a `value` of the column that meets a condition. None where no index
+        tells, or where it has more than LOOKUP_KEYS entries."""
+        state = self.state(version, pending)
+        schema = self.schema(table, state.version)
+        parts = list(dict.fromkeys(state.indexed.get(f, {}).get(column) for _, f in state.folders[schema.name]))
+        if not parts or None in parts:
+            return None
+        kinds = f"value {schema.column(column).kind}, key {schema.column(schema.key).kind}"
+        entries = self.spark.read.schema(kinds).parquet(*[self.store.full(f) for f in parts]).where(condition)
+        found = entries.select("key").limit(LOOKUP_KEYS + 1).collect()
+        return None if len(found) > LOOKUP_KEYS else sorted({r[0] for r in found})
+
     # rows -----------------------------------------------------------------------------------
 
     def _changes(self, table: str, version: int | None = None, pending: Sequence[Change] = ()) -> DataFrame:
@@ -189,7 +245,7 @@ class Database:
         if schema.key and got["rows"] <= LISTED_KEYS:
             keys = [r[0] for r in written.select(schema.key).collect()]
         assert names
-        return Change(schema.name, folder, got["rows"], op, base, got["low"] if schema.key else None, got["high"] if schema.key else None, keys)
+        return Change(schema.name, folder, got["rows"], op, base, got["low"] if schema.key else None, got["high"] if schema.key else None, keys, self._sidecars(schema, written))
 
     def commit(self, changes: list[Change]) -> int:
         """All changes or none. Where a row that was read for a change has been written since, the commit
@@ -212,7 +268,7 @@ class Database:
                 for v in range(c.base + 1, state.version + 1):
                     if c.op != "I" and any(same_rows(c, o) for o in self.entry(v).get("changes", [])):
                         raise ConflictError(f"{c.table}: commit {v} has changed the same rows")
-            return {"changes": [{"table": c.table, "folder": c.folder, "rows": c.rows, "op": c.op, "low": c.low, "high": c.high, "keys": c.keys} for c in changes]}
+            return {"changes": [{"table": c.table, "folder": c.folder, "rows": c.rows, "op": c.op, "low": c.low, "high": c.high, "keys": c.keys} for c in changes], "indexes": {c.folder: c.indexes for c in changes if c.indexes}}
 
         return self._append(make)
 
@@ -232,13 +288,14 @@ class Database:
         if schema.key:
             rows = rows.repartitionByRange(F.col(schema.key)).sortWithinPartitions(schema.key)
         rows.write.parquet(self.store.full(folder))
-        n = self.spark.read.parquet(self.store.full(folder)).count()
+        compacted = self.spark.read.schema(schema.struct).parquet(self.store.full(folder))
+        n, indexes = compacted.count(), self._sidecars(schema, compacted)
         upto = state.version
 
         def make(now: State) -> dict:
             if any(table in self.entry(v).get("compacted", {}) for v in range(upto + 1, now.version + 1)):
                 raise ConflictError(f"{table} has been compacted meanwhile")
-            return {"compacted": {schema.name: [folder, upto, n]}}
+            return {"compacted": {schema.name: [folder, upto, n]}, "indexes": {folder: indexes} if indexes else {}}
 
         return self._append(make)
 
@@ -267,4 +324,10 @@ class Database:
                 if f"data/{table}/{name}" not in named:
                     self.store.delete(f"data/{table}/{name}")
                     gone += 1
+        # an index folder goes with the last folder whose values it holds
+        used = {x for f, columns in self.state(latest).indexed.items() if f in named for x in columns.values()}
+        for table in self.store.names("index"):
+            for name in self.store.names(f"index/{table}"):
+                if f"index/{table}/{name}" not in used:
+                    self.store.delete(f"index/{table}/{name}")
         return gone
