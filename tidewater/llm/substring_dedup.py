@@ -1,14 +1,15 @@
-"""Substring deduplication by relative Lempel-Ziv parsing: words that stand in a run of 50 which also
-starts in a document with a smaller doc_id are removed.
-
-Blocks that are indexed for reference: of every WINDOW consecutive words the run of GRAM words with the
-smallest hash is the anchor (the first of equals), so equal windows have equal anchors at the same
-place; the windows of one anchor form a block, and all words under them are hashed as one factor. Every
-block of every document is indexed, with the smallest doc_id that holds it.
-
-A document is parsed against all of them: a block that a smaller document holds, too, is a factor
-that repeats as a whole. Where documents share an anchor but not its block, a factor ends within: these
-factor boundaries are checked window by window, among the first documents of each such block only.
+"""Substring deduplication over indexed blocks: words that stand in a run of 50 which also starts in a
+document with a smaller doc_id are removed. Blocks are grouped by hash; nothing is parsed into longest
+factors (the README says why).
+
+Of every WINDOW consecutive words the run of GRAM words with the smallest hash is the anchor (the first of
+equals), so equal windows have equal anchors at the same place; the windows of one anchor form a block,
+and all words under them are hashed as one. Every block of every document is indexed, with the smallest
+doc_id that holds it.
+
+A block that a smaller document holds, too, repeats as a whole. Where documents share an anchor but not its
+block, a repeated span ends within: these blocks are checked window by window, among the first documents
+of each such block only.
 
 Windows are judged on the input. A window that repeats only within its own document, or rows that share
 a doc_id, remove nothing. Null texts have no words; texts of fewer than 50 words lose none. Rows with
