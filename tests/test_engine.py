@@ -289,3 +289,27 @@ def test_equalities():
     assert only_table(significant("SELECT a FROM t x WHERE a = 1 ORDER BY a"))[0] == "t"
     for other in ("SELECT a FROM t JOIN u WHERE a = 1", "SELECT a FROM t, u WHERE a = 1", "SELECT a FROM t WHERE a IN (SELECT a FROM t)", "SELECT a FROM t WHERE a = 1 UNION TABLE t"):
         assert only_table(significant(other)) is None
+
+
+def test_distinct_is_rewritten(shop):
+    shop.sql("INSERT INTO crates VALUES (36, 3, NULL)")
+    assert values(shop.sql("SELECT DISTINCT grower FROM crates ORDER BY kilos DESC")) == [2, 1, 3]
+    assert values(shop.sql("SELECT DISTINCT grower AS g FROM crates WHERE kilos > 0 ORDER BY kilos LIMIT 1")) == [1]
+    assert values(shop.sql("SELECT DISTINCT grower FROM crates ORDER BY grower + 1 DESC")) == [3, 2, 1]
+    assert values(shop.sql("SELECT DISTINCT ON (grower) id, kilos k FROM crates ORDER BY grower DESC, k")) == [(36, None), (33, 21.0), (32, 3.5)]
+    assert len(values(shop.sql("SELECT DISTINCT ON (grower) id FROM crates"))) == 3
+    assert values(shop.sql("SELECT DISTINCT ON (grower) * FROM crates ORDER BY grower, id DESC LIMIT 1")) == [(32, 1, 3.5)]
+
+
+def test_functions_and_vector_filters(shop):
+    from pyspark.sql import functions as F
+
+    from tidewater.functions import vector
+
+    shop.register_function("twice_age", "x * 2", "BIGINT", "x BIGINT")
+    shop.register_function("longer", lambda s: s + "!", "string")
+    assert values(shop.sql("SELECT twice_age(age), longer(name) FROM growers ORDER BY id")) == [(76, "Nadia!"), (32, "Piet!")]
+    v = shop.spark.createDataFrame([([1.0, 2.0, 3.0], [1.0, 5.0]), (None, [1.0])], "a array<double>, b array<double>")
+    got = v.select(vector.filter_range("a", 2, 3), vector.compare("a", "b"), vector.filtered("a", lambda x: x < F.lit(2)))
+    assert values(got) == [([2.0, 3.0], [True, False], [1.0]), (None, None, None)]
+    assert values(v.selectExpr("vec_filter_range(a, 2D, 3D)", "vec_compare(a, b)"))[0] == ([2.0, 3.0], [True, False])

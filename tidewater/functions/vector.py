@@ -24,6 +24,8 @@ SQL_FUNCTIONS = {
     "vec_negative_inner_product": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "-vec_dot(a, b)"),
     "vec_add": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "zip_with(a, b, (x, y) -> x + y)"),
     "vec_multiply": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "zip_with(a, b, (x, y) -> x * y)"),
+    "vec_filter_range": ("a ARRAY<DOUBLE>, low DOUBLE, high DOUBLE", "ARRAY<DOUBLE>", "filter(a, x -> x >= low AND x <= high)"),
+    "vec_compare": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "ARRAY<BOOLEAN>", "slice(zip_with(a, b, (x, y) -> x = y), 1, least(size(a), size(b)))"),
     "vec_normalize": ("a ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "transform(a, x -> coalesce(try_divide(x, vec_norm(a)), 0D))"),
 }
 
@@ -105,6 +107,22 @@ def normalize(a) -> Column:
     return F.transform(_c(a), lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
 
 
+def filtered(a, keep: Callable[[Column], Column]) -> Column:
+    """The components that a condition holds for, in their order."""
+    return F.filter(_c(a), keep)
+
+
+def filter_range(a, low: float, high: float) -> Column:
+    """The components from low to high, both included."""
+    return filtered(a, lambda x: (x >= low) & (x <= high))
+
+
+def compare(a, b) -> Column:
+    """Where components are equal, as far as both vectors go."""
+    x, y = _c(a), _c(b)
+    return F.slice(F.zip_with(x, y, lambda s, t: s == t), F.lit(1), F.least(F.size(x), F.size(y)))
+
+
 DISTANCES = {"cosine": cosine_distance, "l2": l2_distance, "ip": negative_inner_product}
 
 

@@ -17,6 +17,7 @@ from tidewater.operators import learned_index, partitioning, relational
 from tidewater.operators.ann import IVFIndex
 from tidewater.plans import dialect, optimizer
 from tidewater.session import Engine
+from tidewater.streaming import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A fixed query vector: sin(1), sin(2), ... of 64 components, rounded.
@@ -144,6 +145,14 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         "SELECT vec_id, round(vec_add(v, v)[1], 6) AS a, round(vec_multiply(v, v)[2], 6) AS m FROM (SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS v FROM embeddings) t",
         "SELECT vec_id, round(2 * CAST(embedding[2] AS DOUBLE), 6) AS a, round(CAST(embedding[3] AS DOUBLE) * CAST(embedding[3] AS DOUBLE), 6) AS m FROM embeddings",
     ),
+    "vec_filter_range": (
+        "SELECT vec_id, size(vec_filter_range(CAST(embedding AS ARRAY<DOUBLE>), -0.5D, 0.5D)) AS n FROM embeddings",
+        "SELECT vec_id, CAST(len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x >= -0.5 AND x <= 0.5)) AS INTEGER) AS n FROM embeddings",
+    ),
+    "vec_compare": (
+        "SELECT vec_id, size(filter(vec_compare(CAST(embedding AS ARRAY<DOUBLE>), array_sort(CAST(embedding AS ARRAY<DOUBLE>))), x -> x)) AS n FROM embeddings",
+        "SELECT vec_id, CAST(sum(CAST(x = y AS INTEGER)) AS INTEGER) AS n FROM (SELECT vec_id, unnest(embedding) AS x, unnest(list_sort(embedding)) AS y FROM embeddings) t GROUP BY vec_id",
+    ),
 }
 
 
@@ -156,6 +165,34 @@ def distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+def _orders_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A statement that an engine has to rewrite first, over orders."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine(spark)
+        e.register("orders", load(spark, sf_dir, "orders"))
+        return e.sql(sql)
+
+    return f
+
+
+def window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.windowed_counts(load(spark, sf_dir, "events"), "ts", "2 hours", "1 day", "event_type", slide="1 hour")
+
+
+def window_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.session_counts(load(spark, sf_dir, "events"), "ts", "6 hours", "1 day", "user_id")
+
+
+def udf_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function given as an expression, and one in Python."""
+    e = Engine(spark)
+    e.register("customer", load(spark, sf_dir, "customer"))
+    e.register_function("tw_cents", "CAST(round(x * 100) AS BIGINT)", "BIGINT", "x DOUBLE")
+    e.register_function("tw_half", lambda s: s // 2, "long")
+    return e.sql("SELECT c_custkey, tw_cents(c_acctbal) AS cents, tw_half(c_custkey) AS half FROM customer")
+
+
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     clicks, views = (e.where(F.col("event_type") == t) for t in ("purchase", "view"))
@@ -400,6 +437,14 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "flagship": (flagship, "SELECT c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment HAVING count(*) > 1"),
     "distinct_hidden_order": (distinct_hidden_order, "SELECT o_orderpriority FROM (SELECT o_orderpriority, min(o_totalprice) AS m FROM orders GROUP BY 1) t ORDER BY m, o_orderpriority LIMIT 3"),
     "distinct_on": (distinct_on, "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey"),
+    "distinct_hidden_order_sql": (_orders_sql("SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_custkey > 3 ORDER BY o_totalprice DESC LIMIT 3"), "SELECT p FROM (SELECT o_orderpriority AS p, max(o_totalprice) AS m FROM orders WHERE o_custkey > 3 GROUP BY 1) t ORDER BY m DESC LIMIT 3"),
+    "distinct_on_sql": (_orders_sql("SELECT DISTINCT ON (o_custkey) o_custkey AS cust, o_orderkey, o_totalprice FROM orders ORDER BY cust, o_totalprice DESC, 2"), "SELECT DISTINCT ON (o_custkey) o_custkey AS cust, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey"),
+    "window_sliding": (window_sliding, "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) t GROUP BY ALL"),
+    "window_session": (window_session, """
+        WITH e AS (SELECT user_id, ts, CAST(coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, TRUE) AS INTEGER) AS first FROM events),
+        s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+        SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, session"""),
+    "udf_sql": (udf_sql, "SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, c_custkey // 2 AS half FROM customer"),
     "asof_join": (asof_join, "SELECT c.event_id, v.view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') c ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) v ON c.user_id = v.user_id AND c.ts >= v.ts"),
     "range_join": (range_join, "SELECT p_partkey, n_nationkey FROM part JOIN nation ON p_retailprice BETWEEN n_nationkey * 40 + 900 AND n_nationkey * 40 + 960"),
     "salted_join": (salted_join, "SELECT s_name, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name"),

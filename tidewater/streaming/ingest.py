@@ -21,6 +21,11 @@ def upsert_stream(engine: Engine, stream: DataFrame, table: str, checkpoint: str
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def windowed_counts(events: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:
-    """Events counted in tumbling windows; those later than `late` are left out."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")
+def windowed_counts(events: DataFrame, time: str, width: str, late: str, *by: str, slide: str | None = None) -> DataFrame:
+    """Events counted in tumbling windows, or in sliding ones; those later than `late` are left out."""
+    return events.withWatermark(time, late).groupBy(F.window(time, width, slide), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")
+
+
+def session_counts(events: DataFrame, time: str, gap: str, late: str, *by: str) -> DataFrame:
+    """Events counted in sessions, which end where none of the same `by` follows for `gap`."""
+    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
