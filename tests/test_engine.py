@@ -313,3 +313,13 @@ def test_functions_and_vector_filters(shop):
     got = v.select(vector.filter_range("a", 2, 3), vector.compare("a", "b"), vector.filtered("a", lambda x: x < F.lit(2)))
     assert values(got) == [([2.0, 3.0], [True, False], [1.0]), (None, None, None)]
     assert values(v.selectExpr("vec_filter_range(a, 2D, 3D)", "vec_compare(a, b)"))[0] == ([2.0, 3.0], [True, False])
+
+
+def test_header_of_a_join(shop):
+    from tidewater.cli import run
+
+    header = lambda sql: shop.header(sql, shop.sql(sql))
+    assert header("SELECT * FROM growers g JOIN crates ON g.id = grower WHERE kilos > 1") == ["g.id", "g.name", "g.age", "crates.id", "crates.grower", "crates.kilos"]
+    assert header("SELECT * FROM growers, crates ORDER BY kilos")[3] == "crates.id"
+    assert header("SELECT * FROM growers ORDER BY id, name") == header("SELECT id, name, age FROM growers") == ["id", "name", "age"]
+    assert "| g.id " in run(shop, "SELECT * FROM growers g CROSS JOIN crates c")

@@ -18,19 +18,20 @@ HELP = r"""\dt, SHOW TABLES   tables          \d NAME, DESCRIBE NAME   a table's
 \q                 leave           anything else is SQL, up to a semicolon"""
 
 
-def grid(df: DataFrame, most: int = 1000) -> str:
+def grid(df: DataFrame, most: int = 1000, header: list[str] | None = None) -> str:
     """Rows as a grid; NULL where there is no value."""
     rows = [["NULL" if x is None else str(x) for x in r] for r in df.limit(most + 1).collect()]
     more, rows = len(rows) > most, rows[:most]
-    width = [max([len(c), *(len(r[i]) for r in rows)]) for i, c in enumerate(df.columns)]
+    names = header or df.columns
+    width = [max([len(c), *(len(r[i]) for r in rows)]) for i, c in enumerate(names)]
     line = "+" + "+".join("-" * (w + 2) for w in width) + "+"
     show = lambda r: "|" + "|".join(f" {x:<{w}} " for x, w in zip(r, width, strict=True)) + "|"
-    return "\n".join([line, show(df.columns), line, *map(show, rows), *([line] if rows else []), f"({len(rows)} rows{' and more' * more})"])
+    return "\n".join([line, show(names), line, *map(show, rows), *([line] if rows else []), f"({len(rows)} rows{' and more' * more})"])
 
 
 def run(engine: Engine, sql: str) -> str:
     df = engine.sql(sql)
-    return f"{df.first()[0]} rows affected" if df.columns == ["affected"] else grid(df)
+    return f"{df.first()[0]} rows affected" if df.columns == ["affected"] else grid(df, header=engine.header(sql, df))
 
 
 def command(engine: Engine, line: str) -> str | None:

@@ -74,9 +74,10 @@ class Handler(BaseHTTPRequestHandler):
             return self.answer({"error": "not JSON"}, 400)
         try:
             if self.path == "/api/query":
-                df = self.engine.sql(body.get("sql") or body.get("query") or "")
+                sql = body.get("sql") or body.get("query") or ""
+                df = self.engine.sql(sql)
                 rows = df.limit(MOST_ROWS + 1).collect()
-                return self.answer({"columns": df.columns, "rows": [list(r) for r in rows[:MOST_ROWS]], "more": len(rows) > MOST_ROWS})
+                return self.answer({"columns": self.engine.header(sql, df), "rows": [list(r) for r in rows[:MOST_ROWS]], "more": len(rows) > MOST_ROWS})
             if self.path == "/api/chat":
                 return self.answer(self.assistant.reply(body.get("message", "")))
             if self.path == "/api/benchmark":
