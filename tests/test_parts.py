@@ -74,6 +74,12 @@ def test_pgm(spark):
     for i in (0, 17, len(ordered) - 1):
         assert index.search(ordered[i]) == [i] and abs(index.rank(ordered[i]) - i) <= 9
     assert index.search(-5.0) == [] and index.bytes() > 0
+    asked = spark.createDataFrame([(x, "a") for x in [*ordered[::7], ordered[0], -5.0, 1e9, float("nan"), None]], "k double, tag string")
+    for buckets in (1, 9):
+        found = index.predict(asked, "k", buckets).collect()
+        assert sorted(r["k"] for r in found) == sorted([*ordered[::7], ordered[0]]) and {r["tag"] for r in found} == {"a"}
+        assert all(abs(r["predicted"] - ordered.index(r["k"])) <= 8 for r in found)
+    assert "NestedLoop" not in index.predict(asked, "k")._jdf.queryExecution().executedPlan().toString()
     import numpy as np
 
     assert sum(s[4] for s in cone(np.ones(100), np.arange(100), 8)) == 100

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.cluster import ship
 from tidewater.functions.statistics import fit_line
+from tidewater.operators.relational import asof_join
 
 #: The error that positions may have, and the least size and the share of the main
 #: part at which a buffer of new keys is merged in.
@@ -60,6 +61,7 @@ class PGMIndex:
 
     def __init__(self, placed: DataFrame, segments: DataFrame, epsilon: int):
         self.placed, self.segments, self.epsilon = placed, segments, epsilon
+        self.keys = placed.select("key")
         self._local: list | None = None
 
     @classmethod
@@ -72,13 +74,25 @@ class PGMIndex:
                 yield pd.DataFrame(cone(b["key"].to_numpy(), b["position"].to_numpy(), epsilon), columns=["first", "last", "slope", "position", "n"])
 
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return cls(placed, placed.repartitionByRange(n, "key").sortWithinPartitions("key", "position").mapInPandas(fit, SEGMENTS), epsilon)
-
-    def predict(self, keys: DataFrame, key: str = "key") -> DataFrame:
-        """keys with the position that their segment predicts, within epsilon of the true one."""
-        s = self.segments.select(F.col("first").alias("__first"), F.col("last").alias("__last"), F.col("slope").alias("__slope"), F.col("position").alias("__start"))
-        found = keys.join(s, (F.col(key) >= F.col("__first")) & (F.col(key) <= F.col("__last")))
-        return found.select(*[F.col(c) for c in keys.columns], (F.col("__start") + F.col("__slope") * (F.col(key) - F.col("__first"))).alias("predicted"))
+        index = cls(placed, placed.repartitionByRange(n, "key").sortWithinPartitions("key", "position").mapInPandas(fit, SEGMENTS), epsilon)
+        index.keys = df.select(F.col(key).cast("double").alias("key"))  # as read, for quantiles
+        return index
+
+    def predict(self, keys: DataFrame, key: str = "key", buckets: int = 64) -> DataFrame:
+        """keys with the position that their segment predicts, within epsilon of the true one: one row each, by the
+        last segment that begins at or before the key. Keys and segments meet in ranges of about equally many
+        indexed keys; within them both are put in order, and the last segment is carried on to the keys after it."""
+        s = self.segments
+        cuts = sorted(set(self.keys.approxQuantile("key", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))) if buckets > 1 else []
+
+        def bucket(c: Column) -> Column:
+            return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= c)) if cuts else F.lit(0)
+
+        spans = F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("last"))))
+        parts = s.select(F.col("first").alias(key), F.struct("first", "last", "slope", "position").alias("__s"), spans.alias("__bucket"))
+        placed = keys.where(F.col(key).isNotNull()).withColumn("__bucket", bucket(F.col(key)))
+        found = asof_join(placed, parts, key, ["__bucket"], ["__s"]).where(F.col(key) <= F.col("__s.last"))
+        return found.select(*keys.columns, (F.col("__s.position") + F.col("__s.slope") * (F.col(key) - F.col("__s.first"))).alias("predicted"))
 
     def search(self, key: float) -> list[int]:
         """All positions of a key, looked for only where its segment says."""
