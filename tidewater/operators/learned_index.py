@@ -119,7 +119,7 @@ class PGMIndex:
         if i < 0:
             return 0.0
         first, last, slope, position, n = segments[i]
-        return min(position + slope * (min(key, last) - first), position + n) if key <= last else float(position + n)
+        return float(min(position + slope * (key - first), position + n) if key <= last else position + n)
 
     def bytes(self) -> int:
         return len(self._loaded()) * SEGMENT_BYTES
