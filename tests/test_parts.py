@@ -79,6 +79,8 @@ def test_pgm(spark):
         found = index.predict(asked, "k", buckets).collect()
         assert sorted(r["k"] for r in found) == sorted([*ordered[::7], ordered[0]]) and {r["tag"] for r in found} == {"a"}
         assert all(abs(r["predicted"] - ordered.index(r["k"])) <= 8 for r in found)
+    index._local = [(0.0, 10.0, 5.0, 0, 3)]  # the segment's end bounds the prediction
+    assert isinstance(index.rank(9.0), float) and index.rank(9.0) == 3
     assert "NestedLoop" not in index.predict(asked, "k")._jdf.queryExecution().executedPlan().toString()
     import numpy as np
 
