@@ -197,3 +197,40 @@ def test_components_in_rounds(spark, monkeypatch):
     """More edges than one task may join: the rounds give the same."""
     monkeypatch.setattr(common, "ONE_TASK", 0)
     test_components(spark)
+
+
+def rows_of_joins(spark, f):
+    """The most rows that a join on tokens makes while f runs, and what f returns."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = f()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList(before, 10_000)
+    most = 0
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for k in range(nodes.size()):
+            node = nodes.apply(k)
+            if "Join" not in node.name() or "token#" not in node.desc():
+                continue
+            for m in range(node.metrics().size()):
+                metric = node.metrics().apply(m)
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most, out
+
+
+def test_far_copies_do_not_all_meet(spark, make):
+    """Copies of one text with so many edits that they are not similar, and few tokens of the text left in their prefixes."""
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(300):
+        words = list(base)
+        for at in r.sample(range(2, 150, 5), 6 if i < 290 else 1):
+            words[at] = f"x{i}-{at}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    most, out = rows_of_joins(spark, lambda: [tuple(x) for x in jaccard_join.similar_documents(make(rows)).collect()])
+    assert sorted(out, key=str) == groups_by_force(rows)
+    assert 0 < most < 300 * 37  # as many as tokens of prefixes, not as pairs

@@ -15,8 +15,9 @@ same set are one vertex, so copies cost nothing.
    counts overlaps there, and joins what is similar. Leaders are held against the blocks of their followers.
 3. The matrix holds, for each token of a prefix, the groups that have it in a prefix, with the least
    and greatest size, place and component. A vertex is a query to the groups of other components at its
-   tokens; of two groups the larger one is asked. The number of these tokens bounds the overlap with every
-   member, and where the group qualifies the query comes to it once, with its whole set. There its overlap with
+   tokens; of two groups the larger one is asked. Two similar sets share r tokens among the first that are
+   one more than either may miss of the other, and r - 1 more. So only tokens that stand there count, the others meet nothing,
+   and where r are found the query comes to the group once, with its whole set. There its overlap with
    the group's whole union is a closer bound; only groups that qualify are opened, and overlaps with their
    members are counted.
 
@@ -87,6 +88,19 @@ def enough(n: str, low: str, high: str, c: str) -> str:
     return f"(4 * {high} >= 3 * {n} and 4 * {n} >= 3 * {low} and (7 * ({n} - floor((3 * {n} + 3) / 4) + 1 - {c}) <= 4 * {n} - 3 * {low} or 28 * {c} >= 12 * {n} - 9 * {high} + 7))"
 
 
+def more(n: str, least: str, most: str) -> str:
+    """How many tokens beyond the first one a set of n must share with a similar set of least to most: two fifths of
+    those that their prefixes allow for. Near copies that went with no leader share under a KIN-th of their size in prefixes; if
+    they are as large as each other, these tokens stand too late to count, so that they don't all meet each other."""
+    return f"(greatest(0, least(12L * {least} - 9L * {n}, 12L * {n} - 9L * {most}) - 21) div 70)"
+
+
+def reaches(place: str, n: str, low: str) -> str:
+    """Whether a token at a place of a set of n can count for any set of low or more."""
+    m = f"greatest(4L * {low}, 3L * {n})"
+    return f"280L * {place} <= 160L * {n} - 30L * {m} + greatest(0, least(12L * {m} - 36L * {n}, 48L * {n} - 9L * {m}))"
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """doc_id, n, v, tokens: a set comes once a task, with its first document."""
     seen: set[int] = set()
@@ -345,7 +359,8 @@ class Matrix:
         return shared, salted if (n > bar).any() else None
 
     def _members(self) -> DataFrame:
-        """v, n, a, label, g, size: every vertex that shares a token, with its leader and its group (a block of those of one label)."""
+        """v, n, a, label, g, size, smallest, largest: every vertex that shares a token, with its leader and its group (a block of those of
+        one label), and how many vertices of which sizes the label has."""
         # c: how many tokens of their prefixes v and a share; pos, at: where the last one stands, what stands before it without being common is missing from the other set
         met = self.led.groupBy("v", "a").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.first("n").alias("n"), F.first("m").alias("m"))
         may = f"v <> a and (7 * least(n - (pos + 1 - c), m - (at + 1 - c)) >= 3 * (n + m) and {enough('n', 'm', 'm', 'c')} or {KIN} * c > n)"
@@ -353,10 +368,10 @@ class Matrix:
         best = stage(best.select("v", "n", F.bitwise_not("best.a").alias("a")), "jaccard")
         trees = components(best.where("a is not null"), "v", "a").withColumnRenamed("id", "v")
         members = stage(best.join(trees, "v", "left").select("v", "n", F.coalesce("component", "v").alias("label"), "a"), "jaccard")
-        sizes = members.groupBy("label").agg(F.sum("n").alias("tokens"), F.count("*").alias("size")).withColumn("__n", F.col("size"))
+        sizes = members.groupBy("label").agg(F.sum("n").alias("tokens"), F.count("*").alias("size"), F.min("n").alias("smallest"), F.max("n").alias("largest")).withColumn("__n", F.col("size"))
         members = join_on_hot(members, stage(sizes, "jaccard"), ["label"], "__n", "inner")
         block = F.pmod(F.xxhash64("v"), F.ceil(F.col("tokens") / GROUP))
-        return members.select("v", "n", "a", "label", F.xxhash64("label", block).alias("g"), "size")
+        return members.select("v", "n", "a", "label", F.xxhash64("label", block).alias("g"), "size", "smallest", "largest")
 
     def _open(self, rows: DataFrame, f, schema: str) -> DataFrame:
         """f over groups: rows (h, query, v, c) with the sets."""
@@ -375,21 +390,27 @@ class Matrix:
         return own, stage(links.select(F.coalesce("c", "v").alias("a"), "b").where("a <> b").distinct(), "jaccard")
 
     def across(self, placed: DataFrame) -> DataFrame:
-        """(a, b): links between components. placed holds v, n, g, size, c."""
-        at = stage(self.shared.select("token", "v", "pos").join(placed, "v").select("token", "v", "n", "pos", "g", "size", "c"), "jaccard")
-        groups = at.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("size").alias("k"))
-        groups = stage(groups, "jaccard")
-        mixed = groups.groupBy("token").agg(F.count("*").alias("groups"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("groups > 1 and c0 <> c1").select("token")
-        groups = stage(groups.join(mixed, "token", "left_semi").withColumnRenamed("g", "h"), "jaccard")
-        met = at.join(groups, "token").where("(k > size or k = size and h > g) and (c0 <> c or c1 <> c) and 4 * high >= 3 * n and 4 * n >= 3 * low")
+        """(a, b): links between components. placed holds v, n, g, size, smallest, largest, c."""
+        at = stage(self.shared.select("token", "v", "pos").join(placed, "v").select("token", "v", "n", "pos", "g", "size", "smallest", "largest", "c"), "jaccard")
+        all_groups = at.groupBy("token", "g").agg(
+            F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("size").alias("k"), F.first("smallest").alias("s0"), F.first("largest").alias("s1")
+        )
+        all_groups = stage(all_groups, "jaccard")
+        mixed = all_groups.groupBy("token").agg(F.count("*").alias("groups"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("low").alias("lowest")).where("groups > 1 and c0 <> c1")
+        mixed = stage(mixed.select("token", "lowest"), "jaccard")
+        groups = stage(all_groups.join(mixed, "token").where(reaches("least", "high", "lowest")).drop("lowest").withColumnRenamed("g", "h"), "jaccard")
+        drop(all_groups)
+        asking = at.join(mixed, "token").where(reaches("pos", "n", "lowest")).drop("smallest", "largest", "lowest")
+        beyond = more("n", "s0", "s1")
+        met = asking.join(groups, "token").where(f"(k > size or k = size and h > g) and (c0 <> c or c1 <> c) and 4 * high >= 3 * n and 4 * n >= 3 * low and 7 * (pos - {beyond}) <= 4 * n - 3 * low and 7 * (least - {beyond}) <= 4 * high - 3 * n")
         # the first of the common tokens must leave enough behind it, and there must be enough of them
         first = F.expr("4 * n - 7 * pos >= 3 * low and 4 * high - 7 * least >= 3 * n")
-        met = met.groupBy("h", "v").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.count("*").alias("common"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(first).alias("first"))
-        met = stage(met.where(f"first and {enough('n', 'low', 'high', 'common')}").select("h", "v", "c"), "jaccard")
+        met = met.groupBy("h", "v").agg(F.first("c").alias("c"), F.count("*").alias("common"), F.first(F.expr(beyond)).alias("beyond"), F.max(first).alias("first"))
+        met = stage(met.where("first and common > beyond").select("h", "v", "c"), "jaccard")
         holding = placed.select(F.col("g").alias("h"), "v", "c").join(met.select("h").distinct(), "h", "left_semi")
         rows = stage(holding.select("h", F.lit(False).alias("query"), "v", "c").unionByName(met.select("h", F.lit(True).alias("query"), "v", "c")), "jaccard")
         links = stage(self._open(rows, _across, "a long, b long").distinct(), "jaccard")
-        drop(at, groups, met, rows)
+        drop(at, mixed, groups, met, rows)
         return links
 
 
@@ -398,7 +419,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     matrix = Matrix(docs)
     own, links = matrix.inside()
     first = components(links)
-    placed = matrix.members.select("v", "n", "g", "size").join(own, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    placed = matrix.members.select("v", "n", "g", "size", "smallest", "largest").join(own, "v", "left").withColumn("c", F.coalesce("c", "v"))
     placed = stage(join_checked(placed, first.withColumnRenamed("id", "c"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component"), "jaccard")
     found = components(matrix.across(placed))
     found = join_checked(placed.select("v", "c"), found.withColumnRenamed("id", "c"), "c", "left").select("v", F.coalesce("component", "c").alias("component"))
