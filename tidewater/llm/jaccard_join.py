@@ -330,9 +330,10 @@ class Matrix:
         shared, salted = self._shared()
         self.shared = self.led = stage(shared, "jaccard")
         if salted is not None:  # such a token has a leader in each of its parts: the least of them leads; at most HOT rows
-            heads = self.shared.where(F.col("token") >= salted).groupBy("token").agg(F.min(F.struct("a", "m", "at")).alias("head"))
-            lead = [F.coalesce(F.col("head")[c], F.col(c)).alias(c) for c in ("a", "m", "at")]
-            self.led = self.shared.join(F.broadcast(heads), "token", "left").select("token", "v", "n", "pos", *lead)
+            parted = self.shared.where(F.col("token") >= salted)
+            heads = parted.groupBy("token").agg(F.min(F.struct("a", "m", "at")).alias("head"))
+            led = parted.join(F.broadcast(heads), "token").select("token", "v", "n", "pos", "head.a", "head.m", "head.at")
+            self.led = self.shared.where(F.col("token") < salted).unionByName(led)
         self.members = stage(self._members(), "jaccard")
 
     def _shared(self) -> tuple[DataFrame, int | None]:
