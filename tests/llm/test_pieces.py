@@ -73,3 +73,14 @@ def test_whole_table(spark, sf, library):
     assert {r["doc_id"]: r["n_tokens"] for r in queries.op2_token_counts(spark, sf).collect()} == {i: len(library.encode(t)) for i, t in texts.items()}
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in queries.op7_sentencepiece(spark, sf).collect()}
     assert got == {i: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, t in texts.items() for x in [library.encode(t, add_bos=True, add_eos=True)]}
+
+
+def test_words_that_come_again_are_encoded_once(library, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 20)
+    monkeypatch.setattr(pieces, "_ids", {})
+    encoded, f = [], pieces.Pieces.id_bytes
+    monkeypatch.setattr(pieces.Pieces, "id_bytes", lambda self, p: encoded.append(p) or f(self, p))
+    for i in range(100):
+        text = f"always here and word{chr(97 + i % 26)}{chr(97 + i // 26)}ity"
+        assert pieces.encode_text(text, PATH) == np.array([1, *library.encode(text), 2], "<u4").tobytes()
+    assert encoded.count("always") + encoded.count(" always") == 1

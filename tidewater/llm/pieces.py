@@ -166,9 +166,25 @@ class Pieces:
         if (found := known.get((before, token))) is None:
             if len(known) > CACHE:
                 known.clear()
-            found = known[before, token] = self.merged(before + token) == ([before, token] if before else [token])
+            found = known[before, token] = self.kept_apart(before, token) if before else self.merged(token) == [token]
         return found
 
+    def kept_apart(self, before: str, token: str) -> bool:
+        """merged(before + token) == [before, token], known as soon as a merge crosses the border."""
+        parts, border, scores = list(before + token), len(before), self.score
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                score = scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if at < 0:
+                return border == 1 and len(parts) == 2
+            if at == border - 1:
+                return False
+            border -= at < border
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
     @functools.cached_property
     def shorter(self) -> dict[str, str]:
         """Each piece's longest proper prefix that is a piece, too."""
@@ -184,19 +200,32 @@ class Pieces:
         position is marked as failed, and the token before it gives way to a shorter one."""
         s = pretoken.replace(" ", SPACE)
         greedy = [p for _, p in self.matcher.iter_long(s)]
-        if "".join(greedy) == s and all(map(self.fits, ["", *greedy], greedy)):
-            return greedy
+        known, fits, shorter = self.compatible, self.fits, self.shorter
+        before, kept = "", 0
+        if "".join(greedy) == s:
+            for p in greedy:
+                if (found := known.get((before, p))) is None:
+                    found = fits(before, p)
+                if not found:
+                    break
+                before, kept = p, kept + 1
+            else:
+                return greedy
         n = len(s)
         failed = bytearray(n // 8 + 1)  # a bit for each position
-        tokens: list[str] = []
-        pos, token = 0, self.longest(s, 0)
+        tokens = greedy[:kept]
+        pos = sum(map(len, tokens))
+        token = greedy[kept] if kept else self.longest(s, 0)
         while pos < n:
             before = tokens[-1] if tokens else ""
             while token:
                 end = pos + len(token)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits(before, token):
-                    break
-                token = self.shorter.get(token, "")
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if (found := known.get((before, token))) is None:
+                        found = fits(before, token)
+                    if found:
+                        break
+                token = shorter.get(token, "")
             if token:
                 tokens.append(token)
                 pos = end
@@ -205,18 +234,17 @@ class Pieces:
                 failed[pos >> 3] |= 1 << (pos & 7)
                 token = tokens.pop()
                 pos -= len(token)
-                token = self.shorter.get(token, "")
+                token = shorter.get(token, "")
         return tokens
 
     def id_bytes(self, pretoken: str) -> bytes:
         """Its ids as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        for t in self.encode(pretoken):
-            if t in self.ids:
-                ids.append(self.ids[t])
-            else:
-                ids += [self.byte_ids[b] for b in t.encode()]
-        return np.array(ids, "<u4").tobytes()
+        known = self.bytes_of
+        return b"".join([known[t] if t in known else b"".join([self.byte_ids[b].to_bytes(4, "little") for b in t.encode()]) for t in self.encode(pretoken)])
+
+    @functools.cached_property
+    def bytes_of(self) -> dict[str, bytes]:
+        return {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
 
 
 @functools.lru_cache(maxsize=4)
@@ -225,7 +253,8 @@ def pieces(path: str) -> Pieces:
 
 
 _counts: dict[str, dict[str, int]] = {}
-_ids: dict[str, dict[str, bytes]] = {}
+#: What is known now, and what was before it grew too large: words that come again pass on from there.
+_ids: dict[str, list[dict[str, bytes]]] = {}
 
 
 def count_texts(texts: list[str], path: str) -> list[int]:
@@ -242,12 +271,13 @@ def count_texts(texts: list[str], path: str) -> list[int]:
 
 def encode_text(text: str, path: str) -> bytes:
     """The ids with begin and end, as little-endian unsigned 32-bit integers."""
-    vocabulary, known = pieces(path), _ids.setdefault(path, {})
-    if len(known) > CACHE:
-        known.clear()
+    vocabulary, held = pieces(path), _ids.setdefault(path, [{}, {}])
+    if len(held[0]) > CACHE:
+        held[:] = {}, held[0]
+    known, before = held
     split = vocabulary.pretokens(text)
     for p in set(split).difference(known):
-        known[p] = vocabulary.id_bytes(p)
+        known[p] = before.get(p) or vocabulary.id_bytes(p)
     begin, end = (np.array([i], "<u4").tobytes() for i in (vocabulary.bos, vocabulary.eos))
     return b"".join([begin, *map(known.__getitem__, split), end])
 
