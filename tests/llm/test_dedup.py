@@ -234,3 +234,19 @@ def test_far_copies_do_not_all_meet(spark, make):
     most, out = rows_of_joins(spark, lambda: [tuple(x) for x in jaccard_join.similar_documents(make(rows)).collect()])
     assert sorted(out, key=str) == groups_by_force(rows)
     assert 0 < most < 300 * 37  # as many as tokens of prefixes, not as pairs
+
+
+@pytest.mark.parametrize("group", [1 << 21, 1 << 12])
+def test_crowds_become_one_group(spark, make, monkeypatch, group):
+    """Copies of one text with few and many edits, which went with many leaders or none, as one group and in blocks."""
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    own, base, texts = random.Random(3), [f"w{i}" for i in range(240)], []
+    for i in range(300):
+        words = list(base)
+        for k in range(own.choice(range(3, 13))):
+            words[own.randrange(240)] = f"x{i}-{k}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    most, out = rows_of_joins(spark, lambda: [tuple(x) for x in jaccard_join.similar_documents(make(rows)).collect()])
+    assert sorted(out, key=str) == groups_by_force(rows)
+    assert group < 1 << 21 or 0 < most < 300 * 60  # as many as tokens of prefixes, not as pairs

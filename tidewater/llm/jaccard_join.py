@@ -10,8 +10,9 @@ same set are one vertex, so copies cost nothing.
    n - ceil(t n) + 1 in that order: their prefix.
 2. Similar documents form groups. At each token of several prefixes the vertex with the least id leads, and
    a vertex goes with the leader that it shares most tokens with, if they can be similar or are KIN at
-   least; leaders go with others in turn. Groups of more than GROUP tokens are split into blocks. A block is
-   one task's work: it holds its members' sets as an index from the tokens of their union to members,
+   least; leaders go with others in turn. Where over CROWD groups would meet at a token they become one: copies of
+   one text that are far from each other are compared there, and don't meet as groups of one each. Groups of more
+   than GROUP tokens are split into blocks, between what went with one leader where that is small. A block is one task's work: it holds its members' sets as an index from the tokens of their union to members,
    counts overlaps there, and joins what is similar. Leaders are held against the blocks of their followers.
 3. The matrix holds, for each token of a prefix, the groups that have it in a prefix, with the least
    and greatest size, place and component. A vertex is a query to the groups of other components at its
@@ -51,6 +52,8 @@ SALTS, SALT_SHARE = 64, 20
 #: A vertex goes with a leader that can't be similar, too, if they share over a KIN-th of its size in prefixes: so do many
 #: that are alike but not similar, and few tokens of theirs then lie in several groups.
 KIN = 16
+#: Groups that may meet at a token. Where there are more they become one.
+CROWD = 16
 #: Queries that a group answers at once.
 ASKED = 64
 TOP = np.uint64(1 << 62)
@@ -368,12 +371,27 @@ class Matrix:
         best = met.groupBy("v").agg(F.first("n").alias("n"), F.max(F.when(F.expr(may), F.struct("c", F.bitwise_not("a").alias("a")))).alias("best"))
         best = stage(best.select("v", "n", F.bitwise_not("best.a").alias("a")), "jaccard")
         trees = components(best.where("a is not null"), "v", "a").withColumnRenamed("id", "v")
-        members = stage(best.join(trees, "v", "left").select("v", "n", F.coalesce("component", "v").alias("label"), "a"), "jaccard")
+        members = stage(best.join(trees, "v", "left").select("v", "n", F.coalesce("component", "v").alias("family"), "a"), "jaccard")
+        members = join_checked(members, self._merged(members), "family", "left").withColumn("label", F.coalesce("label", "family"))
+        # a label's blocks hold whole families, but for large ones, of which there are few
+        large = members.groupBy("family").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > GROUP // 8).select("family", F.lit(True).alias("large"))
+        members = stage(members.join(F.broadcast(large), "family", "left").withColumn("kept", F.when(F.col("large"), F.col("v")).otherwise(F.col("family"))).drop("family", "large"), "jaccard")
         sizes = members.groupBy("label").agg(F.sum("n").alias("tokens"), F.count("*").alias("size"), F.min("n").alias("smallest"), F.max("n").alias("largest")).withColumn("__n", F.col("size"))
         members = join_on_hot(members, stage(sizes, "jaccard"), ["label"], "__n", "inner")
-        block = F.pmod(F.xxhash64("v"), F.ceil(F.col("tokens") / GROUP))
+        block = F.pmod(F.xxhash64("kept"), F.ceil(F.col("tokens") / GROUP))
         return members.select("v", "n", "a", "label", F.xxhash64("label", block).alias("g"), "size", "smallest", "largest")
 
+    def _merged(self, members: DataFrame) -> DataFrame:
+        """family, label: which families become one, as over CROWD of them meet at a token."""
+        crowds = self.shared.groupBy("token").agg(F.count("*").alias("rows"), F.min("n").alias("lowest")).where(F.col("rows") > CROWD)
+        crowds = stage(crowds.select("token", "lowest"), "jaccard")
+        at = join_checked(self.shared.select("token", "v", "n", "pos"), crowds, "token").where(reaches("pos", "n", "lowest"))
+        at = stage(at.select("token", "v").join(members.select("v", "family"), "v").select("token", "family").distinct(), "jaccard")
+        first = at.groupBy("token").agg(F.count("*").alias("families"), F.min("family").alias("first")).where(F.col("families") > CROWD).select("token", "first")
+        merged = components(join_checked(at, stage(first, "jaccard"), "token"), "family", "first")
+        drop(crowds, at)
+        return merged.withColumnRenamed("id", "family").withColumnRenamed("component", "label")
+
     def _open(self, rows: DataFrame, f, schema: str) -> DataFrame:
         """f over groups: rows (h, query, v, c) with the sets."""
         rows = join_checked(self.sets, rows, "v").select("h", "query", "v", "c", "tokens")
