@@ -10,8 +10,8 @@ same set are one vertex, so copies cost nothing.
    n - ceil(t n) + 1 in that order: their prefix.
 2. Similar documents form groups. At each token of several prefixes the vertex with the least id leads, and
    a vertex goes with the leader that it shares most tokens with, if they can be similar or are KIN at
-   least; leaders go with others in turn. Where over CROWD groups would meet at a token they become one: copies of
-   one text that are far from each other are compared there, and don't meet as groups of one each. Groups of more
+   least; leaders go with others in turn. Where over CROWD groups would meet at a token, those that share enough such tokens become
+   one: copies of one text that are far from each other are compared there, and don't meet as groups of one each. Groups of more
    than GROUP tokens are split into blocks, between what went with one leader where that is small. A block is one task's work: it holds its members' sets as an index from the tokens of their union to members,
    counts overlaps there, and joins what is similar. Leaders are held against the blocks of their followers.
 3. The matrix holds, for each token of a prefix, the groups that have it in a prefix, with the least
@@ -52,8 +52,9 @@ SALTS, SALT_SHARE = 64, 20
 #: A vertex goes with a leader that can't be similar, too, if they share over a KIN-th of its size in prefixes: so do many
 #: that are alike but not similar, and few tokens of theirs then lie in several groups.
 KIN = 16
-#: Groups that may meet at a token. Where there are more they become one.
-CROWD = 16
+#: Families that may meet at a token. Where there are more, those become one of which a vertex shares over an ALIKE-th of
+#: its size at such tokens; texts that share a passage or a shingle by chance stay apart.
+CROWD, ALIKE = 16, 128
 #: Queries that a group answers at once.
 ASKED = 64
 TOP = np.uint64(1 << 62)
@@ -382,13 +383,14 @@ class Matrix:
         return members.select("v", "n", "a", "label", F.xxhash64("label", block).alias("g"), "size", "smallest", "largest")
 
     def _merged(self, members: DataFrame) -> DataFrame:
-        """family, label: which families become one, as over CROWD of them meet at a token."""
+        """family, label: which families (what went with one leader) become one, as over CROWD of them meet at tokens that they share."""
         crowds = self.shared.groupBy("token").agg(F.count("*").alias("rows"), F.min("n").alias("lowest")).where(F.col("rows") > CROWD)
         crowds = stage(crowds.select("token", "lowest"), "jaccard")
         at = join_checked(self.shared.select("token", "v", "n", "pos"), crowds, "token").where(reaches("pos", "n", "lowest"))
-        at = stage(at.select("token", "v").join(members.select("v", "family"), "v").select("token", "family").distinct(), "jaccard")
-        first = at.groupBy("token").agg(F.count("*").alias("families"), F.min("family").alias("first")).where(F.col("families") > CROWD).select("token", "first")
-        merged = components(join_checked(at, stage(first, "jaccard"), "token"), "family", "first")
+        at = stage(at.select("token", "v", "n").join(members.select("v", "family"), "v"), "jaccard")
+        first = at.select("token", "family").distinct().groupBy("token").agg(F.count("*").alias("families"), F.min("family").alias("first")).where(F.col("families") > CROWD)
+        met = join_checked(at, stage(first.select("token", "first"), "jaccard"), "token").groupBy("v", "first").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("family").alias("family"))
+        merged = components(met.where(F.col("c") * ALIKE > F.col("n")), "family", "first")
         drop(crowds, at)
         return merged.withColumnRenamed("id", "family").withColumnRenamed("component", "label")
 
