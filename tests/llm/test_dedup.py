@@ -250,3 +250,28 @@ def test_crowds_become_one_group(spark, make, monkeypatch, group):
     most, out = rows_of_joins(spark, lambda: [tuple(x) for x in jaccard_join.similar_documents(make(rows)).collect()])
     assert sorted(out, key=str) == groups_by_force(rows)
     assert group < 1 << 21 or 0 < most < 300 * 60  # as many as tokens of prefixes, not as pairs
+
+
+def test_unlike_sizes_ask_nothing(make, monkeypatch):
+    """Groups of a short and a long text, and texts of a size between that share a passage with both: none comes to them with its set."""
+    own, rows = random.Random(5), []
+    for i in range(12):
+        long = [f"w{i}-{k}" for k in range(300)]
+        texts = [long, long[:44]]
+        for q in range(10):
+            words, at = [f"x{i}-{q}-{k}" for k in range(150)], own.randrange(30)
+            words[70:84] = long[at : at + 14]
+            texts.append(words)
+        texts.append([*texts[-1][:149], "y"])  # similar to the one before
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate(texts)]
+    sent, given = [], jaccard_join.Matrix._open
+
+    def opened(self, rows, f, schema):
+        if f is jaccard_join._across:
+            sent.append(rows.where("query").count())
+        return given(self, rows, f, schema)
+
+    monkeypatch.setattr(jaccard_join.Matrix, "_open", opened)
+    out = jaccard_join.similar_documents(make(rows)).collect()
+    assert sorted(map(tuple, out), key=str) == groups_by_force(rows)
+    assert sent == [0]

@@ -14,12 +14,12 @@ same set are one vertex, so copies cost nothing.
    one: copies of one text that are far from each other are compared there, and don't meet as groups of one each. Groups of more
    than GROUP tokens are split into blocks, between what went with one leader where that is small. A block is one task's work: it holds its members' sets as an index from the tokens of their union to members,
    counts overlaps there, and joins what is similar. Leaders are held against the blocks of their followers.
-3. The matrix holds, for each token of a prefix, the groups that have it in a prefix, with the least
-   and greatest size, place and component. A vertex is a query to the groups of other components at its
-   tokens; of two groups the larger one is asked. Two similar sets share r tokens among the first that are
+3. The matrix holds, for each token of a prefix, the groups that have it in a prefix, by class of size, with the
+   least and greatest size, place and component. A vertex is a query to the groups of other components at its
+   tokens, and there to the classes of similar size; of two groups the larger one is asked. Two similar sets share r tokens among the first that are
    one more than either may miss of the other, and r - 1 more. So only tokens that stand there count, the others meet nothing,
-   and where r are found the query comes to the group once, with its whole set. There its overlap with
-   the group's whole union is a closer bound; only groups that qualify are opened, and overlaps with their
+   and where r are found the query comes to the group once, with its whole set, and the classes that are asked with
+   theirs. There its overlap with their whole union is a closer bound; only groups that qualify are opened, and overlaps with their
    members are counted.
 
 Every similar pair shares a prefix token. It is in one group and is compared there, or its groups meet at
@@ -37,7 +37,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import UnionFind, WordHashes, components, drop, join_checked, join_on_hot, map_arrow, ngrams, parallelism, slices, stage
@@ -55,6 +55,9 @@ KIN = 16
 #: Families that may meet at a token. Where there are more, those become one of which a vertex shares over an ALIKE-th of
 #: its size at such tokens; texts that share a passage or a shingle by chance stay apart.
 CROWD, ALIKE = 16, 128
+#: Sizes are of one class if they are as long in binary and begin with the same CLASS digits: a group of short and long texts has
+#: no bound on what a query must share with it, so whatever shares a shingle with it by chance would come to it.
+CLASS = 5
 #: Queries that a group answers at once.
 ASKED = 64
 TOP = np.uint64(1 << 62)
@@ -333,6 +336,7 @@ class Matrix:
         self.sets = self.rows.where("tokens is not null").select("v", "tokens")
         shared, salted = self._shared()
         self.shared = self.led = stage(shared, "jaccard")
+        self.salted = salted
         if salted is not None:  # such a token has a leader in each of its parts: the least of them leads; at most HOT rows
             parted = self.shared.where(F.col("token") >= salted)
             heads = parted.groupBy("token").agg(F.min(F.struct("a", "m", "at")).alias("head"))
@@ -410,28 +414,41 @@ class Matrix:
         links = found.where("link").select("v", F.col("c").alias("b")).join(own, "v", "left")
         return own, stage(links.select(F.coalesce("c", "v").alias("a"), "b").where("a <> b").distinct(), "jaccard")
 
+    def _mixed(self, at: DataFrame) -> DataFrame:
+        """at's rows at tokens where several groups and components meet, with the least size there: dealt out by token
+        once. Tokens of much of all rows are summed up first, and as there are few of them, the sums are broadcast."""
+        known = {"g0": F.min("g"), "g1": F.max("g"), "c0": F.min("c"), "c1": F.max("c"), "lowest": F.min("n")}
+        rows = at if self.salted is None else at.where(F.col("token") < self.salted)
+        rows = rows.withColumns({k: f.over(Window.partitionBy("token")) for k, f in known.items()})
+        if self.salted is not None:
+            crowded = at.where(F.col("token") >= self.salted)
+            sums = crowded.groupBy("token").agg(*[f.alias(k) for k, f in known.items()])
+            rows = rows.unionByName(crowded.join(F.broadcast(sums), "token"))
+        return rows.where("g0 <> g1 and c0 <> c1")
+
     def across(self, placed: DataFrame) -> DataFrame:
         """(a, b): links between components. placed holds v, n, g, size, smallest, largest, c."""
-        at = stage(self.shared.select("token", "v", "pos").join(placed, "v").select("token", "v", "n", "pos", "g", "size", "smallest", "largest", "c"), "jaccard")
-        all_groups = at.groupBy("token", "g").agg(
-            F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("size").alias("k"), F.first("smallest").alias("s0"), F.first("largest").alias("s1")
-        )
-        all_groups = stage(all_groups, "jaccard")
-        mixed = all_groups.groupBy("token").agg(F.count("*").alias("groups"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("low").alias("lowest")).where("groups > 1 and c0 <> c1")
-        mixed = stage(mixed.select("token", "lowest"), "jaccard")
-        groups = stage(all_groups.join(mixed, "token").where(reaches("least", "high", "lowest")).drop("lowest").withColumnRenamed("g", "h"), "jaccard")
-        drop(all_groups)
-        asking = at.join(mixed, "token").where(reaches("pos", "n", "lowest")).drop("smallest", "largest", "lowest")
+        shift = f"greatest(length(bin(n)) - {CLASS}, 0)"
+        placed = placed.withColumn("s", F.expr(f"shiftleft(shiftright(n, {shift}), {shift})"))
+        placed = placed.select("v", "n", "g", "size", F.greatest("smallest", "s").alias("s0"), F.least("largest", F.expr(f"s + shiftleft(1, {shift}) - 1")).alias("s1"), "c")
+        at = self._mixed(self.shared.select("token", "v", "pos").join(placed, "v")).where(reaches("pos", "n", "lowest"))
+        # a group's rows at a token lie in one task already, so that they are summed up without a shuffle; the row of the least v has the group's figures
+        cell = Window.partitionBy("token", "g", "s0")
+        sums = {"low": F.min("n"), "high": F.max("n"), "least": F.min("pos"), "c0": F.min("c"), "c1": F.max("c"), "v0": F.min("v")}
+        at = at.select("token", "v", "n", "pos", "g", "size", "s0", "s1", "c").withColumns({k: f.over(cell) for k, f in sums.items()})
+        at = stage(at.withColumn("stands", F.col("v") == F.col("v0")).drop("v0"), "jaccard")
+        groups = at.where("stands").select("token", F.col("g").alias("h"), "s0", "s1", "low", "high", "least", "c0", "c1", F.col("size").alias("k"))
+        asking = at.select("token", "v", "n", "pos", "g", "size", "c")
         beyond = more("n", "s0", "s1")
         met = asking.join(groups, "token").where(f"(k > size or k = size and h > g) and (c0 <> c or c1 <> c) and 4 * high >= 3 * n and 4 * n >= 3 * low and 7 * (pos - {beyond}) <= 4 * n - 3 * low and 7 * (least - {beyond}) <= 4 * high - 3 * n")
         # the first of the common tokens must leave enough behind it, and there must be enough of them
         first = F.expr("4 * n - 7 * pos >= 3 * low and 4 * high - 7 * least >= 3 * n")
-        met = met.groupBy("h", "v").agg(F.first("c").alias("c"), F.count("*").alias("common"), F.first(F.expr(beyond)).alias("beyond"), F.max(first).alias("first"))
-        met = stage(met.where("first and common > beyond").select("h", "v", "c"), "jaccard")
-        holding = placed.select(F.col("g").alias("h"), "v", "c").join(met.select("h").distinct(), "h", "left_semi")
-        rows = stage(holding.select("h", F.lit(False).alias("query"), "v", "c").unionByName(met.select("h", F.lit(True).alias("query"), "v", "c")), "jaccard")
+        met = met.groupBy("h", "s0", "v").agg(F.first("c").alias("c"), F.count("*").alias("common"), F.first(F.expr(beyond)).alias("beyond"), F.max(first).alias("first"))
+        met = stage(met.where("first and common > beyond").select("h", "s0", "v", "c"), "jaccard")
+        holding = placed.select(F.col("g").alias("h"), "s0", "v", "c").join(met.select("h", "s0").distinct(), ["h", "s0"], "left_semi")
+        rows = stage(holding.select("h", F.lit(False).alias("query"), "v", "c").unionByName(met.select("h", F.lit(True).alias("query"), "v", "c").distinct()), "jaccard")
         links = stage(self._open(rows, _across, "a long, b long").distinct(), "jaccard")
-        drop(at, mixed, groups, met, rows)
+        drop(at, met, rows)
         return links
 
 
