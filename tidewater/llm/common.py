@@ -18,6 +18,8 @@ from tidewater.cluster import ship
 
 #: Words are runs of anything but ASCII white space; bytes.split() splits at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The setting of how many rows Python gets at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _own_dirs: dict[str, str] = {}
 _staged: list[str] = []
@@ -37,12 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "zstd", batch: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back. It cuts the lineage; a lost executor
-    loses nothing that was written."""
+    loses nothing that was written. batch: rows that Python gets at once meanwhile, where rows are large."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        spark.conf.set(BATCH, batch or before)
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     _staged.append(path)

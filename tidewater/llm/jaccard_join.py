@@ -58,6 +58,8 @@ CROWD, ALIKE = 16, 128
 #: Sizes are of one class if they are as long in binary and begin with the same CLASS digits: a group of short and long texts has
 #: no bound on what a query must share with it, so whatever shares a shingle with it by chance would come to it.
 CLASS = 5
+#: Sets that Python gets at once.
+BATCH = 2000
 #: Queries that a group answers at once.
 ASKED = 64
 TOP = np.uint64(1 << 62)
@@ -335,7 +337,7 @@ class Matrix:
         self.rows = stage(map_arrow(docs, _sets, "doc_id long, n int, v long, tokens array<long>"), "jaccard", "snappy")  # hashes don't compress
         self.sets = self.rows.where("tokens is not null").select("v", "tokens")
         shared, salted = self._shared()
-        self.shared = self.led = stage(shared, "jaccard")
+        self.shared = self.led = stage(shared, "jaccard", batch=BATCH)
         self.salted = salted
         if salted is not None:  # such a token has a leader in each of its parts: the least of them leads; at most HOT rows
             parted = self.shared.where(F.col("token") >= salted)
@@ -347,7 +349,7 @@ class Matrix:
     def _shared(self) -> tuple[DataFrame, int | None]:
         """What stands at tokens of several prefixes, and from which token on rows were salted."""
         counts = map_arrow(self.sets.select("tokens"), _frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        counts = stage(counts, "jaccard")
+        counts = stage(counts, "jaccard", batch=BATCH)
         # the least count of which at most HOT tokens have as much; counts in steps of an eighth of a power of two
         step, least, held = F.floor(8 * F.log2("n")), 0, 0
         for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("tokens"), F.min("n").alias("least")).collect(), key=lambda r: -r["step"]):
@@ -409,7 +411,7 @@ class Matrix:
         asking = several.where("a is not null").select(F.col("g").alias("h"), F.lit(True).alias("query"), F.col("a").alias("v")).distinct()
         asking = asking.join(several.select(F.col("g").alias("h"), "v"), ["h", "v"], "left_anti").select("h", "query", "v")  # it is in that block itself
         rows = several.select(F.col("g").alias("h"), F.lit(False).alias("query"), "v").union(asking).withColumn("c", F.col("v"))
-        found = stage(self._open(stage(rows, "jaccard"), _inside, "v long, c long, link boolean"), "jaccard")
+        found = stage(self._open(stage(rows, "jaccard"), _inside, "v long, c long, link boolean"), "jaccard", batch=BATCH)
         own = found.where("not link").select("v", "c")
         links = found.where("link").select("v", F.col("c").alias("b")).join(own, "v", "left")
         return own, stage(links.select(F.coalesce("c", "v").alias("a"), "b").where("a <> b").distinct(), "jaccard")
@@ -447,7 +449,7 @@ class Matrix:
         met = stage(met.where("first and common > beyond").select("h", "s0", "v", "c"), "jaccard")
         holding = placed.select(F.col("g").alias("h"), "s0", "v", "c").join(met.select("h", "s0").distinct(), ["h", "s0"], "left_semi")
         rows = stage(holding.select("h", F.lit(False).alias("query"), "v", "c").unionByName(met.select("h", F.lit(True).alias("query"), "v", "c").distinct()), "jaccard")
-        links = stage(self._open(rows, _across, "a long, b long").distinct(), "jaccard")
+        links = stage(self._open(rows, _across, "a long, b long").distinct(), "jaccard", batch=BATCH)
         drop(at, met, rows)
         return links
 
